@@ -37,15 +37,27 @@ def nearest(
     *,
     limit: int = fixed.TOP_K,
     min_score: float = fixed.MIN_SCORE,
+    query_norm: Column | None = None,
     norm: Column | None = None,
 ) -> DataFrame:
-    """Best points for one query vector, as ``id, score`` in rank order."""
-    score = vectors.cosine("vector", query, norm_a=norm)
+    """Best points for one query vector, as ``id, score`` in rank order.
+
+    ``query`` may be a literal array or a scalar subquery. Pass norms that are known.
+    The threshold follows the limit here, which keeps the same rows because both use the
+    score, and lets Spark compute each score once.
+    """
+    query_norm = vectors.norm(query) if query_norm is None else query_norm
+    columns = [F.col("id"), F.col("vector"), query.alias("__query"), query_norm.alias("__norm")]
+    if norm is not None:
+        columns.append(norm.alias("norm"))
+    known = None if norm is None else F.col("norm")
+    score = vectors.cosine("vector", "__query", norm_a=known, norm_b=F.col("__norm"))
     return (
-        points.select("id", score.alias("score"))
-        .filter(F.col("score") >= min_score)
+        points.select(*columns)
+        .select("id", score.alias("score"))
         .orderBy(F.desc("score"), F.asc("id"))
         .limit(limit)
+        .filter(F.col("score") >= min_score)
     )
 
 
