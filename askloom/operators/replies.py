@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from askloom import fixed
 from askloom.functions import jsontext
 from askloom.functions.text import strip
+from askloom.plans.ordered import bucket_of
 
 SEGMENT = 4096
 
@@ -16,10 +17,14 @@ def ndjson_tokens(lines: DataFrame) -> DataFrame:
 
     A missing key is an empty token; a line that is not a JSON object has a NULL token.
     """
-    token = jsontext.mapped("line", lambda v: jsontext.token_text(v.get("response", "")))
+    token = jsontext.mapped("line", lambda: _response_text)
     return lines.select("response_id", "seq", token.alias("token"), F.lit(False).alias("done"))
 
 
+def _response_text(value) -> str:
+    return jsontext.token_text(value.get("response", ""))
+
+
 def _delta_text(value) -> str:
     return jsontext.token_text(value["choices"][0]["delta"].get("content", ""))
 
@@ -40,7 +45,7 @@ def sse_tokens(lines: DataFrame) -> DataFrame:
         .select(
             "response_id",
             "seq",
-            jsontext.mapped(F.when(~F.col("done"), F.col("chunk")), _delta_text).alias("token"),
+            jsontext.mapped(F.when(~F.col("done"), F.col("chunk")), lambda: _delta_text).alias("token"),
             "done",
         )
     )
@@ -52,7 +57,7 @@ def segments(tokens: DataFrame, size: int = SEGMENT) -> DataFrame:
     The shuffle key includes the segment, so a reply with a third of all lines is
     sorted and joined in many tasks. ``text`` ends at the stop marker, if one is seen.
     """
-    numbered = tokens.withColumn("segment", F.floor(F.col("seq") / size))
+    numbered = tokens.withColumn("segment", bucket_of("seq", size))
     grouped = numbered.groupBy("response_id", "segment").agg(
         F.array_sort(
             F.collect_list(F.when(F.col("token").isNotNull(), F.struct("seq", "token")))

@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from askloom import fixed
@@ -147,20 +148,18 @@ class _Block:
 
 
 def _scan_with_block(table, schema, points, width, min_score):
-    block = _Block(
-        _column(table, "query_id"), _column(table, "vector"), _column(table, "limit"), width
-    )
-    shared = points.sparkSession.sparkContext.broadcast(block)
+    columns = [_column(table, name) for name in ("query_id", "vector", "limit")]
+    shared = points.sparkSession.sparkContext.broadcast(columns)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = _Block(*shared.value, width)
         top = TopHits(block.rows, block.limits, min_score)
         for batch in batches:
             rows, at = matrix(batch.column("vector"), width)
             top.add(batch.column("id").to_numpy(zero_copy_only=False)[at], rows)
         yield block.hits(top)
 
-    most = int(block.limits.max()) if len(block.limits) else 0
+    most = pc.max(columns[2]).as_py() or 0
     return points.mapInArrow(score, _hit_schema(schema)), most
 
 
@@ -220,12 +219,8 @@ def score_cells(
                     continue
                 if top is None and waiting:
                     asked = pa.Table.from_batches(waiting)
-                    block = _Block(
-                        _column(asked, "query_id"),
-                        _column(asked, "query_vector"),
-                        _column(asked, "limit"),
-                        width,
-                    )
+                    names = ("query_id", "query_vector", "limit")
+                    block = _Block(*(_column(asked, name) for name in names), width)
                     top = TopHits(block.rows, block.limits, min_score)
                 if top is not None:
                     rows, at = matrix(part.column("vector"), width)

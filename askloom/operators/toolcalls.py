@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from askloom import fixed
 from askloom.functions.jsontext import canonical_json
 from askloom.functions.text import clip
+from askloom.plans import sizing
 
-_RAW = (
-    "content string, tool_calls array<struct<function: struct<name: string, arguments: string>>>"
-)
+CATALOGUE_ROWS = 10_000  # tools; more are joined by a shuffle
+
+_CALL = "struct<function: struct<name: string, arguments: string>>"
+_RAW = f"content string, tool_calls array<{_CALL}>"
 
 
 def normalize_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
@@ -42,9 +44,6 @@ def normalize_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-_CALL = "struct<function: struct<name: string, arguments: string>>"
-
-
 def cap_turns(
     turns: DataFrame, order: list[str], max_steps: int = fixed.MAX_STEPS
 ) -> DataFrame:
@@ -73,7 +72,7 @@ def explode_calls(turns: DataFrame, order: list[str], keep: list[str] = []) -> D
 
 def with_call_key(calls: DataFrame) -> DataFrame:
     """Add ``call_key`` and replace unreadable arguments by an empty object."""
-    keyed = calls.withColumn("__args", canonical_json("args"))
+    keyed = canonical_json(calls, "args", "__args")
     empty = F.lit("{}")
     return (
         keyed.withColumn("args", F.when(F.col("__args").isNull(), empty).otherwise(F.col("args")))
@@ -151,14 +150,16 @@ def tool_catalogue(spark: SparkSession, tools=None) -> DataFrame:
 def validate_calls(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Add ``reason``: why a call could not have run, or NULL.
 
-    The catalogue is left to Spark's own size rule, which broadcasts it when small.
+    Call names are few and skewed, so a catalogue of checked size is broadcast and the
+    calls stay where they are.
     """
     given = F.coalesce(F.json_object_keys("args"), F.array().cast("array<string>"))
     missing = F.array_except("required", given)
     reason = F.when(F.col("required").isNull(), F.lit("unknown tool")).when(
         F.size(missing) > 0, F.concat(F.lit("missing argument: "), F.array_join(missing, ", "))
     )
-    return calls.join(catalogue, "name", "left").withColumn("reason", reason).drop("required")
+    known = sizing.broadcast_if_small(catalogue, CATALOGUE_ROWS)
+    return calls.join(known, "name", "left").withColumn("reason", reason).drop("required")
 
 
 def dispatch(calls: DataFrame, tools: Mapping[str, Callable[[Column], Column]]) -> DataFrame:

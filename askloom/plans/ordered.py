@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BUCKET = 4096
 
 
+def bucket_of(order: str, size: int) -> Column:
+    """The multiple of ``size`` at or below an integer column."""
+    return F.col(order) - F.pmod(F.col(order), F.lit(size))
+
+
 def number_rows(
     df: DataFrame, keys: list[str], order: str, starts: Column, bucket: int = BUCKET
 ) -> DataFrame:
@@ -20,7 +25,7 @@ def number_rows(
     ``row_no`` counts rows and ``start_no`` counts rows where ``starts`` holds, both up
     to and including the row; ``n_starts`` is the total of the latter in the group.
     """
-    cut = df.withColumn("__bucket", F.floor(F.col(order) / bucket)).withColumn(
+    cut = df.withColumn("__bucket", bucket_of(order, bucket)).withColumn(
         "__start", F.coalesce(starts, F.lit(False)).cast("long")
     )
     group = Window.partitionBy(*keys)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_BYTES = 32 << 20
 
@@ -21,3 +21,11 @@ def small_table(df: DataFrame, max_rows: int) -> pa.Table | None:
     """
     table = df.limit(max_rows + 1).toArrow()
     return None if table.num_rows > max_rows else table
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for a broadcast join if it has at most ``max_rows`` rows.
+
+    A larger table is left to Spark, which shuffles and splits skewed partitions.
+    """
+    return df if small_table(df, max_rows) is None else F.broadcast(df)

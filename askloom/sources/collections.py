@@ -50,6 +50,7 @@ def upsert(old: DataFrame, new: DataFrame, version: str | None = None) -> DataFr
     If ``new`` itself repeats ids, name the ``version`` column that tells which one is
     the latest; the ranked filter is pruned before the shuffle.
     """
+    kept = old.join(new.select("id"), "id", "left_anti")
     if version is not None:
         latest = Window.partitionBy("id").orderBy(F.desc(version))
         new = (
@@ -57,7 +58,7 @@ def upsert(old: DataFrame, new: DataFrame, version: str | None = None) -> DataFr
             .filter("__rank = 1")
             .drop("__rank", version)
         )
-    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
+    return kept.unionByName(new)
 
 
 def upsert_version(
