@@ -93,7 +93,7 @@ def upsert_points(spark, sf_dir):
 
 @check(
     """
-SELECT vec_id AS id, CASE WHEN label = 0 THEN 63 ELSE 64 END AS width, label <> 0 AS accepted
+SELECT vec_id AS id, (CASE WHEN label = 0 THEN 63 ELSE 64 END)::BIGINT AS width, label <> 0 AS accepted
 FROM embeddings
 """
 )

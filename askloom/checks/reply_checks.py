@@ -22,6 +22,12 @@ def _pieces(spark, sf_dir) -> tuple[DataFrame, Column]:
     return texts, F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0))
 
 
+def _scattered(texts: DataFrame, lines: Column) -> DataFrame:
+    """Numbered lines, spread so that those of one reply lie in different partitions."""
+    numbered = texts.select("response_id", F.posexplode(lines).alias("seq", "line"))
+    return numbered.withColumn("seq", F.col("seq").cast("long")).repartition("seq")
+
+
 def ndjson_lines(spark, sf_dir) -> DataFrame:
     """Token lines with bad ones in between, in no particular order."""
     texts, pieces = _pieces(spark, sf_dir)
@@ -31,9 +37,7 @@ def ndjson_lines(spark, sf_dir) -> DataFrame:
         good,
         F.array(F.lit(""), F.lit('{"response": "x"} junk'), F.lit('{"response": null}')),
     )
-    return texts.select("response_id", F.posexplode(noisy).alias("seq", "line")).withColumn(
-        "seq", F.col("seq").cast("long")
-    )
+    return _scattered(texts, noisy)
 
 
 def sse_lines(spark, sf_dir) -> DataFrame:
@@ -56,9 +60,7 @@ def sse_lines(spark, sf_dir) -> DataFrame:
         F.transform(pieces, event),
         F.array(F.lit("data: [DONE]"), event(F.lit("late")), F.lit("data: [DONE]")),
     )
-    return texts.select("response_id", F.posexplode(noisy).alias("seq", "line")).withColumn(
-        "seq", F.col("seq").cast("long")
-    )
+    return _scattered(texts, noisy)
 
 
 @check(TEXT_SQL)
@@ -116,7 +118,7 @@ def frame_encode(spark, sf_dir):
 
 @check(
     f"""
-SELECT doc_id, CASE WHEN lang <> 'en' THEN 2 ELSE 0 END AS n_sources,
+SELECT doc_id, (CASE WHEN lang <> 'en' THEN 2 ELSE 0 END)::BIGINT AS n_sources,
        CASE WHEN lang <> 'en' THEN source END AS first_source,
        CASE WHEN lang <> 'en' THEN text ELSE '{fixed.NO_STREAM_ANSWER}' END AS content
 FROM documents

@@ -80,22 +80,22 @@ WITH runs AS (
            OVER (PARTITION BY conv_id ORDER BY turn) AS run_id
   FROM conversations)
 SELECT conv_id AS session_id, turn, role, text AS content FROM runs
-WHERE run_id NOT IN (SELECT run_id FROM runs WHERE role = 'user' AND contains(text, '?'))
+WHERE run_id NOT IN (SELECT run_id FROM runs WHERE role = 'user' AND length(text) % 3 = 0)
 """
 )
 def failed_runs_dropped(spark, sf_dir):
-    """Runs whose question holds a question mark count as failed and store nothing."""
+    """Runs with a question of certain lengths count as failed and store nothing."""
     numbered = sessions.number_rows(
         messages(spark, sf_dir), ["session_id"], "turn", F.col("role") == "user"
     ).withColumn("run_id", F.col("session_id") * 1000 + F.col("start_no"))
-    failed = numbered.filter((F.col("role") == "user") & F.contains("content", F.lit("?")))
+    failed = numbered.filter((F.col("role") == "user") & (F.length("content") % 3 == 0))
     stored = sessions.drop_failed(numbered, failed)
     return stored.select("session_id", "turn", "role", "content")
 
 
 @check(
     f"""
-SELECT conv_id, turn, 0 AS pos, 'system' AS role, '{fixed.SYSTEM_TEXT}' AS content FROM conversations
+SELECT conv_id, turn, 0::BIGINT AS pos, 'system' AS role, '{fixed.SYSTEM_TEXT}' AS content FROM conversations
 UNION ALL SELECT conv_id, turn, 1, 'assistant', 're: ' || text FROM conversations WHERE turn % 2 = 0
 UNION ALL SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END, 'user', text FROM conversations
 """
@@ -122,7 +122,7 @@ BLANK = "\xa0\t\n"
 SELECT conv_id, turn, trim(text, '{fixed.WHITESPACE}') AS question,
        CASE WHEN turn % 2 = 0 THEN 'session ' || conv_id ELSE '{fixed.DEFAULT_SESSION}' END AS session_id,
        CASE WHEN turn % 3 = 0 THEN 'm' ELSE '{fixed.AGENT_MODEL}' END AS model,
-       CASE WHEN turn % 4 = 0 THEN 7 ELSE {fixed.TOP_K} END AS "limit",
+       (CASE WHEN turn % 4 = 0 THEN 7 ELSE {fixed.TOP_K} END)::BIGINT AS "limit",
        CASE WHEN turn % 3 = 0 THEN 'm' ELSE '{fixed.GENERATE_MODEL}' END AS chat_model
 FROM conversations WHERE role <> 'assistant' AND length(trim(text, '{fixed.WHITESPACE}')) > 0
 """

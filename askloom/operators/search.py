@@ -7,11 +7,13 @@ limit, equal scores are ordered by id, and a zero or malformed vector never matc
 do, but never builds those pairs as rows: tasks multiply blocks and emit at most
 ``limit`` hits per query, and a ranked shuffle of those partial hits finishes the job.
 
-* Few queries (their vectors fit ``sizing.BROADCAST_BYTES``): the query block goes to
-  every task and the points are scanned in place, without a shuffle.
-* More queries: queries are hashed into blocks of that size, points into blocks, and
-  both are sent to the cells of the resulting grid. Cells are cut by a hash of the id,
-  so no key, source or group of copies makes one cell larger than the others.
+* Few queries (within ``sizing.BROADCAST_BYTES``): the query block goes to every task
+  and the points are scanned in place, without a shuffle.
+* More queries: queries are hashed into blocks of ``sizing.CELL_BYTES``, points into
+  blocks, and both are sent to the cells of the resulting grid. Cells are cut by a hash
+  of the id, so no key, source or group of copies makes one cell larger than the others.
+  Points stream through a cell, so only the query block counts for its memory; large
+  query blocks keep the copies of each point few.
 """
 
 from __future__ import annotations
@@ -83,18 +85,26 @@ def top_k(
     ).filter("limit > 0")
     points = points.select(F.col("id").cast("long").alias("id"), "vector")
 
-    table = None
-    if strategy != "grid":
-        table = sizing.small_table(asked, sizing.rows_within(width))
-        if table is None and strategy == "broadcast":
-            raise ValueError("the query vectors exceed the broadcast bound; use the grid")
+    table = None if strategy == "grid" else _broadcast_table(asked, width)
     if table is not None:
         partial, most = _scan_with_block(table, asked.schema, points, width, min_score)
+    elif strategy == "broadcast":
+        raise ValueError("the queries exceed the broadcast bound; use the grid")
     else:
         partial, most = _grid(asked, points, width, min_score)
     return rank_hits(partial, most)
 
 
+def _broadcast_table(asked: DataFrame, width: int) -> pa.Table | None:
+    """The queries, if their vectors and hits stay within the broadcast bound."""
+    table = sizing.small_table(asked, sizing.query_rows(width, 0, sizing.BROADCAST_BYTES))
+    if table is None:
+        return None
+    most = pc.max(table.column("limit")).as_py() or 0
+    fits = sizing.query_rows(width, most, sizing.BROADCAST_BYTES)
+    return table if table.num_rows <= fits else None
+
+
 def rank_hits(hits: DataFrame, most: int) -> DataFrame:
     """Number partial hits per query and keep each query's own limit.
 
@@ -166,7 +176,8 @@ def _scan_with_block(table, schema, points, width, min_score):
 def _grid(asked: DataFrame, points: DataFrame, width: int, min_score: float):
     n_queries, most = asked.agg(F.count("*"), F.coalesce(F.max("limit"), F.lit(0))).first()
     partitions = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    query_blocks = max(1, math.ceil(n_queries / sizing.rows_within(width)))
+    block_rows = sizing.query_rows(width, most, sizing.CELL_BYTES)
+    query_blocks = max(1, math.ceil(n_queries / block_rows))
     point_blocks = max(1, math.ceil(2 * partitions / query_blocks))
 
     def block_of(key: str, blocks: int) -> Column:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _KEY = "spark.checkpoint.dir"
-_local: list[str] = []
+_local: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -19,8 +19,8 @@ def shared_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_KEY} to a folder that all executors can reach")
     if not _local:
-        _local.append(tempfile.mkdtemp(prefix="askloom-"))
-    return _local[0]
+        _local.append(tempfile.TemporaryDirectory(prefix="askloom-"))
+    return _local[0].name
 
 
 def new_path(spark: SparkSession, name: str) -> str:

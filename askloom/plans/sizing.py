@@ -5,12 +5,15 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 32 << 20  # query vectors and hits that go to every task
+CELL_BYTES = 128 << 20  # query vectors and hits held by one task of a grid
 
+NUMBER_BYTES, HIT_BYTES = 8, 24
 
-def rows_within(width: int, item_bytes: int = 8, max_bytes: int = BROADCAST_BYTES) -> int:
-    """How many vectors of ``width`` numbers fit into ``max_bytes``."""
-    return max(1, max_bytes // (width * item_bytes))
+
+def query_rows(width: int, limit: int, max_bytes: int) -> int:
+    """How many queries fit: each holds ``width`` numbers and up to ``limit`` hits."""
+    return max(1, max_bytes // (width * NUMBER_BYTES + limit * HIT_BYTES))
 
 
 def small_table(df: DataFrame, max_rows: int) -> pa.Table | None:

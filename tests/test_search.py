@@ -65,7 +65,7 @@ def test_equals_brute_force(spark, strategy):
 
 def test_small_tiles_and_query_blocks_change_nothing(spark, monkeypatch):
     queries, points = random_data(seed=11)
-    monkeypatch.setattr(sizing, "rows_within", lambda *a, **k: 16)
+    monkeypatch.setattr(sizing, "query_rows", lambda *a: 16)
     hits = search.top_k(
         spark.createDataFrame(queries, QUERIES), spark.createDataFrame(points, POINTS), width=WIDTH
     )
@@ -75,7 +75,7 @@ def test_small_tiles_and_query_blocks_change_nothing(spark, monkeypatch):
 
 def test_broadcast_beyond_the_bound_is_refused(spark, monkeypatch):
     queries, points = random_data()
-    monkeypatch.setattr(sizing, "rows_within", lambda *a, **k: 16)
+    monkeypatch.setattr(sizing, "query_rows", lambda *a: 16)
     with pytest.raises(ValueError):
         search.top_k(
             spark.createDataFrame(queries, QUERIES),
