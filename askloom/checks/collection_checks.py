@@ -12,20 +12,20 @@ from askloom.sources import collections
 from askloom.sources.documents import chunk
 
 POINTS_SQL = f"""
-SELECT c.doc_id * 1000000 AS id, c.text, d.source, c.chunk_index,
+SELECT c.doc_id * 1000000 + c.chunk_index AS id, c.text, d.source, c.chunk_index,
        round(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS norm
 FROM ({LINES_SQL}) c JOIN documents d ON d.doc_id = c.doc_id
 JOIN embeddings e ON e.vec_id = c.doc_id
-WHERE c.chunk_index = 0
 """
 
 
 def _points(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     chunks = chunk(documents, keys=("doc_id", "source"), delimiter="\n")
-    embedded = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("embedding").alias("vector")
+    vecs = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")
     )
+    embedded = chunks.select("doc_id", "chunk_index").join(vecs, "doc_id")
     return collections.as_points(
         collections.attach_vectors(chunks, embedded),
         F.col("doc_id") * 1000000 + F.col("chunk_index"),
@@ -46,7 +46,10 @@ def _flat(nested):
 
 @check(POINTS_SQL)
 def points_build(spark, sf_dir):
-    """Chunks meet vectors by ``(doc_id, chunk_index)`` and become nested points."""
+    """Chunks meet vectors by ``(doc_id, chunk_index)`` and become nested points.
+
+    Every chunk of a document carries the vector of the document.
+    """
     return _flat(_points(spark, sf_dir))
 
 

@@ -185,6 +185,47 @@ def run_answer(spark, sf_dir):
     return toolcalls.final_answers(toolcalls.cap_turns(turns(spark, sf_dir), ORDER))
 
 
+@check(
+    """
+SELECT event_id, user_id AS run_id, pos, CASE WHEN pos = 0 THEN event_type ELSE 'log' END AS name,
+       CASE WHEN pos = 0 THEN 'value ' || value ELSE 'logged ' || event_id END AS result
+FROM events, (SELECT unnest([0::BIGINT, 1::BIGINT]) AS pos) WHERE event_type <> 'error'
+"""
+)
+def logged_results(spark, sf_dir):
+    """A full message log: turns with two calls each, followed by their tool messages."""
+    first = F.struct(F.col("event_type").alias("name"), F.col("props").alias("args"))
+    second = F.struct(F.lit("log").alias("name"), F.lit("{}").alias("args"))
+    made = F.when(F.col("event_type") != "error", F.array(first, second))
+    value = F.concat(F.lit("value "), F.col("value").cast("string"))
+
+    def row(offset, role, content, tool_calls):
+        return F.struct(
+            (F.col("event_id") * 3 + offset).alias("seq"),
+            F.lit(role).alias("role"),
+            content.alias("content"),
+            tool_calls.alias("tool_calls"),
+        )
+
+    no_calls = F.lit(None).cast("array<struct<name: string, args: string>>")
+    turn = row(0, "assistant", F.lit(""), made)
+    answers = [
+        row(1, "tool", value, no_calls),
+        row(2, "tool", F.concat(F.lit("logged "), F.col("event_id").cast("string")), no_calls),
+    ]
+    rows = F.when(F.col("event_type") == "error", F.array(turn)).otherwise(F.array(turn, *answers))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.inline(rows))
+    turns_only = log.filter("role = 'assistant'")
+    answered = toolcalls.with_results(toolcalls.explode_calls(turns_only, ["seq"]), log)
+    return answered.select(
+        (F.col("seq") / 3).cast("long").alias("event_id"),
+        "run_id",
+        F.col("pos").cast("long").alias("pos"),
+        "name",
+        "result",
+    )
+
+
 CATALOGUE = [("view", ["k"]), ("click", ["k", "target"]), ("purchase", [])]
 
 

@@ -17,6 +17,7 @@ from askloom.functions.jsontext import canonical_json
 from askloom.functions.text import clip
 from askloom.plans import sizing
 
+SALTS = 1024  # slices of one kind of call when repeats are flagged
 CATALOGUE_ROWS = 10_000  # tools; more are joined by a shuffle
 
 _CALL = "struct<function: struct<name: string, arguments: string>>"
@@ -81,6 +82,19 @@ def with_call_key(calls: DataFrame) -> DataFrame:
     )
 
 
+def with_results(calls: DataFrame, messages: DataFrame, order: str = "seq") -> DataFrame:
+    """Add the logged ``result`` of each call; calls without one keep NULL.
+
+    Tool messages follow the turn that called them, one per call and in call order, so
+    the message of a call is found by position.
+    """
+    answers = messages.filter("role = 'tool'").select(
+        "run_id", F.col(order).alias("__at"), F.col("content").alias("result")
+    )
+    placed = calls.withColumn("__at", F.col(order) + 1 + F.col("pos"))
+    return placed.join(answers, ["run_id", "__at"], "left").drop("__at")
+
+
 def first_calls(calls: DataFrame, order: list[str]) -> DataFrame:
     """The first call of each kind in a run. Each map task ships at most one row per kind."""
     kind = Window.partitionBy("run_id", "call_key").orderBy(*order, "pos")
@@ -90,17 +104,22 @@ def first_calls(calls: DataFrame, order: list[str]) -> DataFrame:
 
 
 def flag_repeats(calls: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``repeated`` to every call.
+    """Add ``repeated`` to every call, in two steps so that no kind of call fills a task.
 
-    The join key is the position of a call, which is unique, so neither a long run nor
-    one call made over and over loads a single task.
+    Calls of a kind are first ranked within ``SALTS`` slices cut by a hash of their
+    position. A call that is not the first of its slice is a repeat. The firsts, at most
+    ``SALTS`` per kind, are then ranked against each other; the others stay in slices.
     """
-    at = ["run_id", *order, "pos"]
-    firsts = first_calls(calls, order).select(*at, F.lit(True).alias("__first"))
+    at = [*order, "pos"]
+    kind = ["run_id", "call_key"]
+    slices = Window.partitionBy(*kind, "__slice").orderBy(*at)
+    heats = Window.partitionBy(*kind, "__heat").orderBy(*at)
     return (
-        calls.join(firsts, at, "left")
-        .withColumn("repeated", F.col("__first").isNull())
-        .drop("__first")
+        calls.withColumn("__slice", F.pmod(F.xxhash64(*at), F.lit(SALTS)))
+        .withColumn("__rank", F.row_number().over(slices))
+        .withColumn("__heat", F.when(F.col("__rank") == 1, F.lit(-1)).otherwise(F.col("__slice")))
+        .withColumn("repeated", (F.col("__rank") > 1) | (F.row_number().over(heats) > 1))
+        .drop("__slice", "__rank", "__heat")
     )
 
 

@@ -199,9 +199,15 @@ def test_long_runs_are_trimmed_before_the_shuffle(spark):
     assert plan_of(toolcalls.first_calls(keyed, ["seq"])).count("WindowGroupLimit") == 2
 
 
-@pytest.mark.parametrize("run", ["r", "s"])
-def test_one_hot_call_is_not_joined_by_its_key(spark, run):
-    df = calls(spark, [(run, i, 0, "f", "{}", "x") for i in range(3000)])
-    flagged = toolcalls.flag_repeats(df, ["seq"])
-    assert flagged.filter("NOT repeated").count() == 1
-    assert flagged.count() == 3000
+@pytest.mark.parametrize("salts", [1, 3, 1024])
+def test_flags_do_not_depend_on_the_slices(spark, monkeypatch, salts):
+    monkeypatch.setattr(toolcalls, "SALTS", salts)
+    data = [("r", i, 0, "f", "{}", "x") for i in range(3000)]
+    data += [(f"s{i % 7}", i, i % 2, "g", f'{{"k":{i % 11}}}', "x") for i in range(400)]
+    flagged = toolcalls.flag_repeats(calls(spark, data), ["seq"])
+    seen, want = set(), []
+    for run, seq, pos, name, args, _ in sorted(data, key=lambda c: (c[0], c[1], c[2])):
+        want.append((run, seq, pos, (run, name, args) in seen))
+        seen.add((run, name, args))
+    assert rows(flagged.select("run_id", "seq", "pos", "repeated")) == sorted(want)
+    assert "Join" not in plan_of(flagged)
