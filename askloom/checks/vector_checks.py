@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from askloom.checks.registry import check, table
 from askloom.functions import vectors
 from askloom.functions.scalars import round_score
-from askloom.operators import search
+from askloom.operators import clusters, search
+from askloom.plans import scratch
 
 WIDTH = 64
 
@@ -56,6 +57,27 @@ def vector_topk_grid(spark, sf_dir):
     )
 
 
+@check(TOPK_SQL)
+def vector_topk_clustered(spark, sf_dir):
+    """Search on a collection laid out by cluster.
+
+    Every point is also a query here and probes its own cluster, so nothing is missed and
+    the exact SQL must hold.
+    """
+    path = scratch.new_path(spark, "clustered")
+    all_points = points(spark, sf_dir)
+    model = clusters.fit_clusters(all_points, 8, width=WIDTH)
+    clusters.write_clustered(model, all_points, path, width=WIDTH)
+    hits = clusters.probe_top_k(
+        queries(spark, sf_dir),
+        spark.read.parquet(path),
+        clusters.centers(model, all_points),
+        width=WIDTH,
+        probes=2,
+    )
+    return shown(hits)
+
+
 @check(
     """
 WITH scored AS (

@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from askloom.operators import block_scores, search
+from askloom.operators import block_scores, clusters, search
 from askloom.functions import vectors
 from askloom.plans import sizing
 
@@ -150,3 +150,39 @@ def test_vector_expressions(spark):
     assert [tuple(r) for r in got] == [(24.0, 5.0, 0.96), (0.0, 0.0, None), (None, 1.0, None)]
     known = df.select(vectors.cosine("a", "b", F.lit(5.0), F.lit(5.0))).first()[0]
     assert known == 0.96
+
+
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """Twelve well separated directions; one holds a third of all points."""
+    rng = np.random.default_rng(1)
+    middles = rng.normal(size=(12, WIDTH))
+    middles /= np.linalg.norm(middles, axis=1)[:, None]
+    owner = np.where(np.arange(1200) % 3 == 0, 0, rng.integers(1, 12, 1200))
+    data = middles[owner] + rng.normal(scale=0.05, size=(1200, WIDTH))
+    rows_ = [(i, v.tolist()) for i, v in enumerate(data)] + [(5000, [0.0] * WIDTH), (5001, [1.0])]
+    points = spark.createDataFrame(rows_, POINTS)
+    path = str(tmp_path_factory.mktemp("index") / "v1")
+    model = clusters.fit_clusters(points, 12, width=WIDTH, seed=3)
+    clusters.write_clustered(model, points, path, width=WIDTH)
+    queries = spark.createDataFrame(
+        [(f"q{i}", middles[i].tolist(), None) for i in range(12)], QUERIES
+    )
+    return queries, points, spark.read.parquet(path), clusters.centers(model, points)
+
+
+def test_probing_all_clusters_is_exact(clustered):
+    queries, points, stored, middles = clustered
+    got = clusters.probe_top_k(queries, stored, middles, width=WIDTH, probes=12)
+    assert rows(got) == rows(search.top_k(queries, points, width=WIDTH))
+
+
+def test_probing_few_clusters_reads_few_partitions_and_keeps_recall(clustered):
+    queries, points, stored, middles = clustered
+    one = queries.filter("query_id IN ('q0', 'q5')")
+    got = clusters.probe_top_k(one, stored, middles, width=WIDTH, probes=2)
+    plan = plan_of(got)
+    filters = plan[plan.index("PartitionFilters: [") :]
+    assert "cluster" in filters[: filters.index("]") + 1]
+    want = set(rows(search.top_k(one, points, width=WIDTH)))
+    assert len(want & set(rows(got))) >= 0.9 * len(want)
