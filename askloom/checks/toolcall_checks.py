@@ -30,7 +30,7 @@ def turns(spark, sf_dir):
 def calls(spark, sf_dir):
     """Calls of the turns a run would have made, with the turn's content as result."""
     capped = toolcalls.cap_turns(turns(spark, sf_dir), ORDER)
-    return toolcalls.explode_calls(capped, ORDER, ["content"]).withColumnRenamed("content", "result")
+    return toolcalls.explode_calls(capped, ORDER, ("content",)).withColumnRenamed("content", "result")
 
 
 def all_calls(spark, sf_dir):

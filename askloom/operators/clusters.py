@@ -42,11 +42,13 @@ def write_clustered(model: PipelineModel, points: DataFrame, path: str, *, width
     """Write ``id, vector`` points partitioned by cluster.
 
     Rows are spread by ranges of cluster and id, so a cluster with most of the points is
-    written by many tasks into many files.
+    written by many tasks into many files. Vectors of another width, which no search
+    matches, are kept as cluster -1.
     """
-    usable = points.filter(has_width("vector", width))
-    placed = model.transform(_with_raw(usable)).drop("__raw", "__unit")
-    placed.repartitionByRange("cluster", "id").write.partitionBy("cluster").parquet(path)
+    ok = has_width("vector", width)
+    placed = model.transform(_with_raw(points.filter(ok))).drop("__raw", "__unit")
+    other = points.filter(~ok).withColumn("cluster", F.lit(-1))
+    placed.unionByName(other).repartitionByRange("cluster", "id").write.partitionBy("cluster").parquet(path)
 
 
 def centers(model: PipelineModel, points: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def cap_turns(
     )
 
 
-def explode_calls(turns: DataFrame, order: list[str], keep: list[str] = []) -> DataFrame:
+def explode_calls(turns: DataFrame, order: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per call: ``run_id``, order columns, ``pos`` in its turn, name, args, key."""
     calls = turns.select(
         "run_id", *order, *keep, F.posexplode("tool_calls").alias("pos", "call")

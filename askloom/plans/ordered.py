@@ -1,8 +1,9 @@
 """Positions within groups of any length.
 
 A window over a whole group sorts that group in one task. Here a group is cut into
-buckets of its integer order column first; only one row per bucket takes part in the
-window over the group, so one session holding a third of all rows is still spread.
+buckets of its integer order column, and the buckets into larger ones. Each window sees
+one bucket; totals of what lies before it come from the level above, so a session holding
+a third of all rows is spread like any other.
 """
 
 from __future__ import annotations
@@ -17,6 +18,42 @@ def bucket_of(order: str, size: int) -> Column:
     return F.col(order) - F.pmod(F.col(order), F.lit(size))
 
 
+def running_sums(
+    df: DataFrame, keys: list[str], order: str, names: list[str], sizes: list[int]
+) -> DataFrame:
+    """Add ``<name>_before`` and ``<name>_total`` for each summed column.
+
+    The first is the sum over the rows of the group that come earlier, the second the sum
+    over the whole group. ``order`` must be unique and not NULL within ``keys``; ``sizes``
+    are the bucket sizes, each a multiple of the one before.
+    """
+
+    def before(name: str, within: list[str]) -> Column:
+        earlier = Window.partitionBy(*within).orderBy(order)
+        summed = F.sum(name).over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+        return F.coalesce(summed, F.lit(0))
+
+    if not sizes:
+        group = Window.partitionBy(*keys)
+        added = {f"{n}_before": before(n, keys) for n in names}
+        return df.withColumns(added | {f"{n}_total": F.sum(n).over(group) for n in names})
+
+    bucket = f"__bucket{len(sizes)}"
+    cut = df.withColumn(bucket, bucket_of(order, sizes[0]))
+    totals = cut.groupBy(*keys, bucket).agg(*(F.sum(n).alias(n) for n in names))
+    offsets = running_sums(totals, keys, bucket, names, sizes[1:]).select(
+        *keys,
+        bucket,
+        *(F.col(f"{n}_before").alias(f"__{n}_offset") for n in names),
+        *(f"{n}_total" for n in names),
+    )
+    placed = cut.join(offsets, [*keys, bucket])
+    inside = {
+        f"{n}_before": F.col(f"__{n}_offset") + before(n, [*keys, bucket]) for n in names
+    }
+    return placed.withColumns(inside).drop(bucket, *(f"__{n}_offset" for n in names))
+
+
 def number_rows(
     df: DataFrame, keys: list[str], order: str, starts: Column, bucket: int = BUCKET
 ) -> DataFrame:
@@ -25,26 +62,13 @@ def number_rows(
     ``row_no`` counts rows and ``start_no`` counts rows where ``starts`` holds, both up
     to and including the row; ``n_starts`` is the total of the latter in the group.
     """
-    cut = df.withColumn("__bucket", bucket_of(order, bucket)).withColumn(
+    marked = df.withColumn("__row", F.lit(1).cast("long")).withColumn(
         "__start", F.coalesce(starts, F.lit(False)).cast("long")
     )
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*keys, "__bucket")
-        .agg(F.count("*").alias("__n"), F.sum("__start").alias("__s"))
-        .select(
-            *keys,
-            "__bucket",
-            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows"),
-            F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__starts"),
-            F.sum("__s").over(group).alias("n_starts"),
-        )
-    )
-    here = Window.partitionBy(*keys, "__bucket").orderBy(order)
+    summed = running_sums(marked, keys, order, ["__row", "__start"], [bucket, bucket * bucket])
     return (
-        cut.join(offsets, [*keys, "__bucket"])
-        .withColumn("row_no", F.col("__rows") + F.row_number().over(here))
-        .withColumn("start_no", F.col("__starts") + F.sum("__start").over(here))
-        .drop("__bucket", "__start", "__rows", "__starts")
+        summed.withColumn("row_no", F.col("__row_before") + 1)
+        .withColumn("start_no", F.col("__start_before") + F.col("__start"))
+        .withColumnRenamed("__start_total", "n_starts")
+        .drop("__row", "__start", "__row_before", "__start_before", "__row_total")
     )

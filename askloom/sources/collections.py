@@ -38,10 +38,22 @@ def split_by_width(points: DataFrame, width: int) -> tuple[DataFrame, DataFrame]
     return points.filter(ok), points.filter(~ok)
 
 
-def create_collection(points: DataFrame, path: str, width: int, replace: bool = False) -> None:
-    """Write a new collection. An existing path is an error unless ``replace`` is set."""
-    accepted, _ = split_by_width(points, width)
-    accepted.write.mode("overwrite" if replace else "errorifexists").parquet(path)
+def create_collection(
+    points: DataFrame, path: str, width: int, *, replace: bool = False, rejects: str | None = None
+) -> None:
+    """Write a new collection. An existing path is an error unless ``replace`` is set.
+
+    Points of another width go to the ``rejects`` path; without one they fail the write.
+    """
+    mode = "overwrite" if replace else "errorifexists"
+    accepted, rejected = split_by_width(points, width)
+    if rejects is not None:
+        rejected.write.mode(mode).parquet(rejects)
+    else:
+        ok = vectors.has_width("vector", width)
+        wrong = F.raise_error(F.lit(f"a vector is not {width} numbers wide"))
+        accepted = points.withColumn("vector", F.when(ok, F.col("vector")).otherwise(wrong))
+    accepted.write.mode(mode).parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, version: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from askloom import fixed
 from askloom.operators import search
@@ -21,16 +21,16 @@ from askloom.sources.documents import chunk
 LEAD, TURN = 0, 1
 
 
+def _start(writer: DataStreamWriter, checkpoint: str, once: bool) -> StreamingQuery:
+    """Start a query that stops at the end of its input, or runs on if not ``once``."""
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def append(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append a stateless stream to a Parquet table."""
-    writer = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-    )
-    if once:
-        writer = writer.trigger(availableNow=True)
-    return writer.start(path)
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", path)
+    return _start(writer, checkpoint, once)
 
 
 def ingest_chunks(
@@ -40,9 +40,10 @@ def ingest_chunks(
     *,
     keys: tuple[str, ...] = ("doc_id",),
     delimiter: str = fixed.PARAGRAPH_DELIMITER,
+    once: bool = True,
 ) -> StreamingQuery:
     """Chunk new documents as they arrive; nothing already loaded is read again."""
-    return append(chunk(documents, keys=keys, delimiter=delimiter), path, checkpoint)
+    return append(chunk(documents, keys=keys, delimiter=delimiter), path, checkpoint, once)
 
 
 def ingest_tokens(
@@ -53,6 +54,7 @@ def ingest_tokens(
     *,
     arrived: str | None = None,
     delay: str = "10 minutes",
+    once: bool = True,
 ) -> StreamingQuery:
     """Parse reply lines into a token table, to be read by ``replies.reassemble``.
 
@@ -63,24 +65,24 @@ def ingest_tokens(
         lines = lines.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(
             ["response_id", "seq"]
         )
-    return append(parse(lines), path, checkpoint)
+    return append(parse(lines), path, checkpoint, once)
 
 
 def search_stream(
-    queries: DataFrame, points: DataFrame, path: str, checkpoint: str, **options
+    queries: DataFrame,
+    points: DataFrame,
+    path: str,
+    checkpoint: str,
+    once: bool = True,
+    **options,
 ) -> StreamingQuery:
-    """Run ``top_k`` on each batch of arriving queries."""
+    """Run ``top_k`` with ``options`` on each batch of arriving queries."""
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         hits = search.top_k(batch, points, **options)
         hits.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (
-        queries.writeStream.foreachBatch(answer)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(queries.writeStream.foreachBatch(answer), checkpoint, once)
 
 
 def session_log(messages: DataFrame, order: str = "turn") -> DataFrame:
@@ -100,9 +102,10 @@ def session_log(messages: DataFrame, order: str = "turn") -> DataFrame:
 
 
 def remember_sessions(
-    messages: DataFrame, path: str, checkpoint: str, order: str = "turn"
+    messages: DataFrame, path: str, checkpoint: str, order: str = "turn", once: bool = True
 ) -> StreamingQuery:
-    return append(session_log(messages, order), path, checkpoint)
+    """Append arriving messages to the memory table."""
+    return append(session_log(messages, order), path, checkpoint, once)
 
 
 def session_totals(messages: DataFrame) -> DataFrame:

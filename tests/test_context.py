@@ -76,7 +76,12 @@ def points(spark, data):
 
 def test_collections_are_created_once_replaced_and_versioned(spark, tmp_path):
     old, new = str(tmp_path / "v1"), str(tmp_path / "v2")
-    collections.create_collection(points(spark, [(1, [3.0, 4.0], "a"), (2, [1.0], "short")]), old, 2)
+    rejects = str(tmp_path / "rejects")
+    mixed = points(spark, [(1, [3.0, 4.0], "a"), (2, [1.0], "short")])
+    with pytest.raises(Exception, match="not 2 numbers wide"):
+        collections.create_collection(mixed, str(tmp_path / "failed"), 2)
+    collections.create_collection(mixed, old, 2, rejects=rejects)
+    assert rows(spark.read.parquet(rejects).select("id", "payload.text")) == [(2, "short")]
     stored = spark.read.parquet(old)
     assert rows(stored.select("id", "norm", "payload.text", "payload.source")) == [(1, 5.0, "a", None)]
     with pytest.raises(Exception, match="already exists"):

@@ -173,6 +173,7 @@ def clustered(spark, tmp_path_factory):
 
 def test_probing_all_clusters_is_exact(clustered):
     queries, points, stored, middles = clustered
+    assert rows(stored.select("id")) == rows(points.select("id"))
     got = clusters.probe_top_k(queries, stored, middles, width=WIDTH, probes=12)
     assert rows(got) == rows(search.top_k(queries, points, width=WIDTH))
 

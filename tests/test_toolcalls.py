@@ -141,7 +141,7 @@ def test_several_calls_in_a_turn_are_one_step(spark):
     data = [("r", i, None, CALL * 3) for i in range(4)] + [("r", 9, "done", [])]
     capped = toolcalls.cap_turns(turns(spark, data), ["seq"])
     assert rows(toolcalls.final_answers(capped)) == [("r", "done")]
-    exploded = toolcalls.explode_calls(capped, ["seq"], ["step"])
+    exploded = toolcalls.explode_calls(capped, ["seq"], ("step",))
     assert exploded.count() == 12
     assert exploded.filter("step > 4").count() == 0
 
