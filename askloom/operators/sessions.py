@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from askloom import fixed
-from askloom.plans.ordered import BUCKET, number_rows
+from askloom.plans.ordered import BUCKETS, number_rows
 
 SYSTEM, HISTORY, QUESTION = 0, 1, 2
 
@@ -68,7 +68,7 @@ def drop_failed(messages: DataFrame, failed_runs: DataFrame) -> DataFrame:
 
 
 def session_memory(
-    messages: DataFrame, order: str = "turn", bucket: int = BUCKET
+    messages: DataFrame, order: str = "turn", sizes: tuple[int, ...] = BUCKETS
 ) -> DataFrame:
     """Stored list of every session: ``session_id, position, run_no, role, content``.
 
@@ -81,7 +81,7 @@ def session_memory(
         ["session_id"],
         "__at",
         F.col("role") == "user",
-        bucket,
+        sizes,
     )
     run_no = F.col("start_no").alias("run_no")
     return numbered.select(

@@ -1,16 +1,17 @@
 """Positions within groups of any length.
 
 A window over a whole group sorts that group in one task. Here a group is cut into
-buckets of its integer order column, and the buckets into larger ones. Each window sees
-one bucket; totals of what lies before it come from the level above, so a session holding
-a third of all rows is spread like any other.
+buckets of its integer order column, and if need be the buckets into larger ones. Each
+window sees one bucket; totals of what lies before it come from the level above, so a
+session holding a third of all rows is spread like any other. One level is enough for
+10^11 rows in a group: two million bucket totals remain for the window over the group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET = 4096
+BUCKETS = (65536,)
 
 
 def bucket_of(order: str, size: int) -> Column:
@@ -19,7 +20,7 @@ def bucket_of(order: str, size: int) -> Column:
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: str, names: list[str], sizes: list[int]
+    df: DataFrame, keys: list[str], order: str, names: list[str], sizes: tuple[int, ...]
 ) -> DataFrame:
     """Add ``<name>_before`` and ``<name>_total`` for each summed column.
 
@@ -55,7 +56,7 @@ def running_sums(
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], order: str, starts: Column, bucket: int = BUCKET
+    df: DataFrame, keys: list[str], order: str, starts: Column, sizes: tuple[int, ...] = BUCKETS
 ) -> DataFrame:
     """Add positions to rows ordered by ``order``, an integer unique within ``keys``.
 
@@ -65,7 +66,7 @@ def number_rows(
     marked = df.withColumn("__row", F.lit(1).cast("long")).withColumn(
         "__start", F.coalesce(starts, F.lit(False)).cast("long")
     )
-    summed = running_sums(marked, keys, order, ["__row", "__start"], [bucket, bucket * bucket])
+    summed = running_sums(marked, keys, order, ["__row", "__start"], sizes)
     return (
         summed.withColumn("row_no", F.col("__row_before") + 1)
         .withColumn("start_no", F.col("__start_before") + F.col("__start"))

@@ -31,8 +31,8 @@ LOG = [
 
 def test_memory_equals_a_replay_for_any_bucket_size(spark):
     df = spark.createDataFrame(LOG, MESSAGES).repartition(4)
-    for bucket in [1, 2, 7, 4096]:
-        stored = sessions.session_memory(df, bucket=bucket)
+    for sizes in [(), (1,), (7,), (65536,), (2, 6), (3, 6, 24)]:
+        stored = sessions.session_memory(df, sizes=sizes)
         got = {}
         for r in stored.orderBy("session_id", "position").collect():
             got.setdefault(r["session_id"], []).append((r["role"], r["content"]))
@@ -69,7 +69,7 @@ def test_failed_runs_store_nothing(spark):
 def test_numbering_handles_negative_and_sparse_orders(spark):
     data = [("k", o, o % 2 == 0) for o in [-9, -8, -1, 0, 3, 4096, 10**12]]
     df = spark.createDataFrame(data, "k string, o long, s boolean")
-    got = number_rows(df, ["k"], "o", F.col("s"), bucket=4).orderBy("o").collect()
+    got = number_rows(df, ["k"], "o", F.col("s"), (4, 16)).orderBy("o").collect()
     assert [(r["row_no"], r["start_no"], r["n_starts"]) for r in got] == [
         (1, 0, 4),
         (2, 1, 4),
