@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from askloom import fixed
 from askloom.checks.registry import check, table
 from askloom.checks.vector_checks import WIDTH
-from askloom.operators import context, inference, search
+from askloom.operators import context, inference, knowledge, search
 
 MIN_SCORE = 0.35
 
@@ -110,6 +110,53 @@ def search_json(spark, sf_dir):
     )
 
 
+@check(
+    f"""
+WITH wanted AS (
+  SELECT event_id, json_extract_string(props, '$.k') AS query FROM events WHERE event_type <> 'error'),
+collection AS (
+  SELECT vec_id AS id, embedding::DOUBLE[] AS v, text
+  FROM embeddings JOIN documents ON doc_id = vec_id),
+scored AS (
+  SELECT q.vec_id::VARCHAR AS query, id, text,
+         list_cosine_similarity(list_reverse(q.embedding)::DOUBLE[], collection.v) AS score
+  FROM embeddings q, collection),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank
+  FROM scored WHERE score >= {MIN_SCORE}),
+answers AS (
+  SELECT query, string_agg(text, chr(10) ORDER BY rank) AS result
+  FROM ranked WHERE rank <= 3 GROUP BY query)
+SELECT event_id, md5(coalesce(result, '{fixed.NO_KNOWLEDGE}')) AS result_hash
+FROM wanted LEFT JOIN answers USING (query)
+"""
+)
+def tool_searches(spark, sf_dir):
+    """Every event but errors as a search call; its query names the vector to search with."""
+    vecs = table(spark, sf_dir, "embeddings")
+    documents = table(spark, sf_dir, "documents")
+    calls = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_type") == "error", "other").otherwise(knowledge.SEARCH_TOOL).alias("name"),
+        F.to_json(F.struct(F.get_json_object("props", "$.k").alias("query"))).alias("args"),
+    )
+    known = vecs.join(documents, vecs["vec_id"] == documents["doc_id"], "left_semi").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector")
+    )
+    named = vecs.select(
+        F.col("vec_id").cast("string").alias("query"), F.reverse("embedding").alias("vector")
+    )
+    answered = knowledge.answer_searches(
+        calls,
+        lambda queries: queries.join(named, "query"),
+        known,
+        documents.select(F.col("doc_id").alias("id"), "text"),
+        width=WIDTH,
+        min_score=MIN_SCORE,
+    )
+    return answered.select("event_id", F.md5("result").alias("result_hash"))
+
+
 def make_counting_model():
     """Deterministic stand-in for a model: reports sizes of the prompt."""
 

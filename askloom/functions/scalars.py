@@ -63,6 +63,11 @@ def format_time(ts: Column | str) -> Column:
     return F.date_format(col(ts), "yyyy-MM-dd HH:mm:ss")
 
 
+def current_time() -> Column:
+    """The current time in the session time zone, as the time tool writes it."""
+    return format_time(F.current_timestamp())
+
+
 def weather_values(body: Column | str) -> Column:
     schema = "current struct<temperature_2m double, wind_speed_10m double>"
     return F.from_json(col(body), schema)["current"]

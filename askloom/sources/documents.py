@@ -13,6 +13,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return from_files(spark.read.text(path, wholetext=True))
 
 
+def literal_documents(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """Documents given in code; their ids are the list positions."""
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
 def from_files(files: DataFrame) -> DataFrame:
     return files.select(
         F.col("_metadata.file_name").alias("doc_id"), fold_newlines("value").alias("text")

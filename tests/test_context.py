@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from askloom import fixed
-from askloom.operators import context, inference
+from askloom.operators import context, inference, knowledge
 from askloom.sources import collections
 
 
@@ -141,3 +141,33 @@ def test_generation_is_built_once_per_task_and_batched(spark):
     )
     got = [r["answer"] for r in inference.generate(prompts, make, batch_size=2).orderBy("query_id").collect()]
     assert got == ["m/0/1/2", "m/1/1/2", "m/2/2/2", "m/3/2/2", "m/4/3/1"]
+
+
+def test_repeated_searches_are_run_once_per_query(spark):
+    calls = spark.createDataFrame(
+        [
+            (1, "search_knowledge_base", '{"query":"x"}'),
+            (2, "search_knowledge_base", '{"query":"x"}'),
+            (3, "search_knowledge_base", '{"query":"far"}'),
+            (4, "search_knowledge_base", "{}"),
+            (5, "calculate", '{"expression":"1"}'),
+        ],
+        "n int, name string, args string",
+    )
+    embedded = []
+
+    def embed(queries):
+        embedded.append(queries.count())
+        at = F.when(F.col("query") == "x", 1.0).otherwise(-1.0).cast("float")
+        return queries.withColumn("vector", F.array(at, F.lit(0.0).cast("float")))
+
+    points = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(5)], "id long, vector array<float>")
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "id long, text string")
+    got = knowledge.answer_searches(calls, embed, points, texts, width=2)
+    assert rows(got.select("n", "result").fillna("none")) == [
+        (1, "text 0\ntext 1\ntext 2"),
+        (2, "text 0\ntext 1\ntext 2"),
+        (3, fixed.NO_KNOWLEDGE),
+        (4, "none"),
+    ]
+    assert embedded == [2]

@@ -1,5 +1,6 @@
 """Every registered query against its SQL on DuckDB."""
 
+import importlib
 import os
 from pathlib import Path
 
@@ -23,10 +24,18 @@ def canonical(values):
     return tuple("~" if v is None else repr(v) for v in values)
 
 
+def test_entry_and_registry(spark):
+    entry_point = importlib.import_module("__spark_entry__")
+    assert entry_point.entry(spark).columns == ["query_id", "rank", "id", "score"]
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries()) == set(CHECKS)
+
+
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query(spark, duck, name):
     check = CHECKS[name]
     df = check.run(spark, str(SF_DIR))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     columns = sorted(df.columns)
     got = sorted(canonical(r) for r in df.select(*columns).collect())
     if check.sql is None:

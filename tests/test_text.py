@@ -1,11 +1,12 @@
 import random
+import re
 
 from conftest import rows
 from pyspark.sql import functions as F
 
 from askloom import fixed
 from askloom.functions import scalars, text
-from askloom.sources.documents import chunk, read_documents
+from askloom.sources.documents import chunk, literal_documents, read_documents
 
 
 def rule(value, delimiter="\n\n"):
@@ -54,6 +55,16 @@ def test_files_are_read_whole_with_folded_newlines(spark, tmp_path):
     ]
 
 
+def test_literal_documents_are_numbered(spark):
+    assert rows(literal_documents(spark, ["a", "b"])) == [(0, "a"), (1, "b")]
+
+
+def test_times_are_written_to_the_second(spark):
+    got = spark.range(1).select(scalars.current_time(), scalars.format_time(F.lit("2024-01-02 03:04:05.9").cast("timestamp_ntz"))).first()
+    assert re.fullmatch(r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", got[0])
+    assert got[1] == "2024-01-02 03:04:05"
+
+
 def test_previews_count_code_points(spark):
     df = spark.createDataFrame([("ab",), ("😀" * 160,), (None,)], "t string")
     got = [r[0] for r in df.select(text.preview("t")).collect()]
