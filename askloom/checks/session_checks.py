@@ -8,6 +8,7 @@ from askloom import fixed
 from askloom.checks.registry import check, table
 from askloom.functions import scalars
 from askloom.operators import sessions
+from askloom.plans import scratch
 from askloom.streaming import jobs
 
 
@@ -51,14 +52,16 @@ UNION ALL SELECT session_id, 2, 0, 'user', question FROM requests
 """
 )
 def session_lookup(spark, sf_dir):
-    """Messages of a new request per session: system text, memory, question."""
+    """Messages of a new request per session: system text, stored memory, question."""
     log = messages(spark, sf_dir)
+    path = scratch.new_path(spark, "memory")
+    sessions.session_memory(log).write.parquet(path)
     requests = (
         log.filter("role = 'user'")
         .groupBy("session_id")
         .agg(F.max_by("content", "turn").alias("question"))
     )
-    return sessions.request_messages(requests, sessions.session_memory(log))
+    return sessions.request_messages(requests, spark.read.parquet(path))
 
 
 @check(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from askloom import fixed
 from askloom.operators import context, search
+from askloom.plans.skew import spread_join
 
 SEARCH_TOOL = "search_knowledge_base"
 
@@ -25,8 +26,7 @@ def answer_searches(
     """Calls of the search tool with their ``result`` text.
 
     ``embed`` adds ``vector`` to a ``query`` column. Each distinct query is embedded and
-    searched once, however many calls repeat it; results are unique per query, so a
-    query asked by most calls only makes the other side of that join long.
+    searched once, however many calls repeat it.
     """
     asked = calls.filter(F.col("name") == tool).withColumn(
         "query", F.get_json_object("args", "$.query")
@@ -40,4 +40,4 @@ def answer_searches(
     results = answered.select(
         F.col("query_id").alias("query"), context.knowledge_text().alias("result")
     )
-    return asked.join(results, "query", "left").drop("query")
+    return spread_join(asked, results, "query", "left").drop("query")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from askloom import fixed
 from askloom.plans.ordered import BUCKETS, number_rows
+from askloom.plans.skew import spread_join
 
 SYSTEM, HISTORY, QUESTION = 0, 1, 2
 
@@ -34,11 +35,9 @@ def request_messages(requests: DataFrame, memory: DataFrame) -> DataFrame:
     """Messages sent for each request: system text, session history, question.
 
     ``requests`` holds one open request per ``session_id``; ``memory`` is the output of
-    ``session_memory``. Order by ``part, position``. Requests are unique per session, so
-    a session with most of the history only makes that side long, which the adaptive
-    skew join splits.
+    ``session_memory``, read from where it is stored. Order by ``part, position``.
     """
-    past = memory.join(requests.select("session_id"), "session_id").select(
+    past = spread_join(memory, requests.select("session_id"), "session_id").select(
         "session_id", F.lit(HISTORY).alias("part"), "position", "role", "content"
     )
     own = requests.select(
@@ -64,7 +63,7 @@ def _part(part: int, role: str, content: Column) -> Column:
 
 def drop_failed(messages: DataFrame, failed_runs: DataFrame) -> DataFrame:
     """A run that raised stores nothing."""
-    return messages.join(failed_runs.select("run_id").distinct(), "run_id", "left_anti")
+    return spread_join(messages, failed_runs.select("run_id").distinct(), "run_id", "left_anti")
 
 
 def session_memory(
