@@ -88,9 +88,12 @@ WHERE run_id NOT IN (SELECT run_id FROM runs WHERE role = 'user' AND length(text
 )
 def failed_runs_dropped(spark, sf_dir):
     """Runs with a question of certain lengths count as failed and store nothing."""
-    numbered = sessions.number_rows(
+    runs = sessions.number_rows(
         messages(spark, sf_dir), ["session_id"], "turn", F.col("role") == "user"
     ).withColumn("run_id", F.col("session_id") * 1000 + F.col("start_no"))
+    path = scratch.new_path(spark, "runs")
+    runs.write.parquet(path)
+    numbered = spark.read.parquet(path)
     failed = numbered.filter((F.col("role") == "user") & (F.length("content") % 3 == 0))
     stored = sessions.drop_failed(numbered, failed)
     return stored.select("session_id", "turn", "role", "content")
