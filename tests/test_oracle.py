@@ -27,7 +27,7 @@ def canonical(values):
 def test_entry_and_registry(spark):
     entry_point = importlib.import_module("__spark_entry__")
     assert entry_point.entry(spark).columns == ["query_id", "rank", "id", "score"]
-    assert set(entry_point.oracle_sql()) <= set(entry_point.queries()) == set(CHECKS)
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries()) >= set(CHECKS)
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
