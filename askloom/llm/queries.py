@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askloom.llm import packing, quality, secrets, tokencounts
+from askloom.llm import packing, quality, secrets, sharding, tokencounts, urlfilter
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 RANK_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -40,11 +40,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *report, failed.alias("base_failed"), "kept")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_secrets": op4_secrets,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
+    "op8_sharding": op8_sharding,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {}

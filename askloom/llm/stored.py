@@ -8,15 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a folder set here."""
+    """``spark.checkpoint.dir``; where one process is all there is, a folder made here."""
     named = spark.conf.get(_KEY, None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set(_KEY, named)
-    return named
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {_KEY} to a folder that all executors can reach")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="checkpoints-"))
+    return _own[0]
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
