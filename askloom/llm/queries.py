@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askloom.llm import packing, quality, secrets, sharding, tokencounts, urlfilter
+from askloom.llm import decontamination, packing, quality, secrets, sharding, tokencounts, urlfilter
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 RANK_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.find_items(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path(WORD_VOCABULARY))
@@ -49,6 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op4_secrets": op4_secrets,
     "op5_token_counts": op5_token_counts,

@@ -24,6 +24,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_BARE = _LOWER.copy()
+_BARE[[c for c in range(33, 127) if not chr(c).isalnum()]] = 0x20
 _powers: dict[int, np.ndarray] = {}
 _constants: dict[tuple[int, int], np.ndarray] = {}
 
@@ -113,13 +115,17 @@ def _blocks(data: np.ndarray) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def words(run: Run, lower: bool = False) -> Words:
-    """Hash every word; a row end is a word end. ``lower`` folds A-Z first."""
+def words(run: Run, lower: bool = False, bare: bool = False) -> Words:
+    """Hash every word; a row end is a word end.
+
+    ``lower`` folds A-Z first; ``bare`` does so too and takes ASCII punctuation as space.
+    """
     hashes, starts, ends = [], [], []
+    table = _BARE if bare else _LOWER if lower else None
     for a, b in _blocks(run.data):
         block = run.data[a:b]
-        if lower:
-            block = _LOWER[block]
+        if table is not None:
+            block = table[block]
         inside = np.zeros(b - a + 2, dtype=bool)
         inside[1:-1] = ~_SPACE[block]
         edge = inside[1:] != inside[:-1]
