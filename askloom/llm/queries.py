@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askloom.llm import decontamination, packing, quality, secrets, sharding, tokencounts, urlfilter
+from askloom.llm import decontamination, jaccardjoin, linededup, packing, quality, secrets, sharding, tokencounts, urlfilter
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 RANK_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(spark, docs)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan_secrets(docs, public_tokenizers.path(RANK_VOCABULARY), public_tokenizers.PATTERN)
@@ -49,6 +54,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.join_similar(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(spark, table(spark, sf_dir, "pages"))
 
@@ -56,10 +65,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_secrets": op4_secrets,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op8_sharding": op8_sharding,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
 }
 
