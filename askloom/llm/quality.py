@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from askloom.llm import textkernel
 
-SAMPLE_ROWS = 2000  # documents on which costs and rejections are measured
+SAMPLE_ROWS = 1000  # documents on which costs and rejections are measured
+SAMPLE_BYTES = 1 << 16  # longer texts are not taken into the sample
 REPEAT_WORDS = 8
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -132,9 +133,9 @@ def judge(view: View, rules: tuple[Rule, ...]) -> np.ndarray:
     return kept
 
 
-def measure_batches(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
-    """One row: the names of the rules in the order found, with their measured figures."""
-    found = [run for batch in batches for run in textkernel.runs(batch.column(0))]
+def measured(texts: list[str], rules: tuple[Rule, ...]) -> list[tuple[Rule, float, int]]:
+    """The rules in the order found, each with its seconds and its rejections there."""
+    found = list(textkernel.runs(pa.array(texts, pa.string())))
     left = [np.arange(len(run)) for run in found]
     rest, chosen = list(rules), []
     while rest:
@@ -151,22 +152,19 @@ def measure_batches(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...])
             if best is None or n / max(cost, 1e-9) > best[0]:
                 best = (n / max(cost, 1e-9), rule, cost, n, hits)
         _, rule, cost, n, hits = best
-        chosen.append({"rule": rule.name, "seconds": cost, "rejected": n, "seen": sum(map(len, left))})
+        chosen.append((rule, cost, n))
         left = [rows[~h] for rows, h in zip(left, hits)]
         rest.remove(rule)
-    for at, row in enumerate(chosen):
-        yield pa.RecordBatch.from_pylist([{"at": at, **row}])
+    return chosen
 
 
 def measured_order(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per cost on at most ``sample_rows`` documents."""
-    sample = docs.select(F.col("text").cast("string").alias("text")).limit(sample_rows).coalesce(1)
-    rows = sample.mapInArrow(
-        lambda b: measure_batches(b, rules),
-        "at long, rule string, seconds double, rejected long, seen long",
-    ).collect()  # one row per rule
-    by_name = {r.name: r for r in rules}
-    return tuple(by_name[r["rule"]] for r in sorted(rows, key=lambda r: r["at"]))
+    """The rules by rejections per cost on the first ``sample_rows`` texts of up to
+    ``SAMPLE_BYTES`` bytes, so that the driver holds a bounded sample. Spark reads only as
+    many partitions as give so many rows."""
+    text = F.col("text").cast("string")
+    small = docs.select(text.alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
+    return tuple(r for r, _, _ in measured([row[0] for row in small.take(sample_rows)], rules))
 
 
 def judge_documents(
