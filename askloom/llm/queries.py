@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askloom.llm import decontamination, jaccardjoin, linededup, packing, quality, secrets, sharding, tokencounts, urlfilter
+from askloom.llm import decontamination, jaccardjoin, linededup, packing, personal, quality, secrets, sharding, tokencounts, urlfilter
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 RANK_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -50,6 +50,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *report, failed.alias("base_failed"), "kept")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(spark, table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
+    "op7_personal_data": op7_personal_data,
     "op8_sharding": op8_sharding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
