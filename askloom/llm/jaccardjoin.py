@@ -172,22 +172,16 @@ def lacking_column(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / 100)).cast("int")
 
 
-def join_similar(
-    spark: SparkSession, docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, row: str = "doc_id"
-) -> DataFrame:
-    """``row, n_shingles, component_id`` for every row of ``docs``.
+def _texts(docs: DataFrame, row: str) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col(row).cast("long").alias("row"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
-    ``component_id`` is the least ``row`` value in the component. A null or text without
-    words has no shingles and is linked with nothing; a text of fewer than ``k`` words is
-    one shingle; a null ``row`` value stays null but passes links on and never names a
-    component of others; repeated rows and equal texts are linked; an empty table gives no
-    rows; other columns are ignored.
-    """
-    texts = docs.select(
-        F.col(row).cast("long").alias("row"),
-        F.xxhash64(F.col("text").cast("string")).alias("hash"),
-        F.col("text").cast("string").alias("text"),
-    )
+
+def components(
+    spark: SparkSession, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT
+) -> tuple[DataFrame, DataFrame]:
+    """Stored tables ``row, hash, n, set`` of all ``texts(row, hash, text)`` and
+    ``set, root, component_id`` of all sets but the empty one."""
     sketch = stored(
         spark,
         texts.mapInArrow(lambda b: sketch_batches(b, k), "row long, hash long, n long, set binary"),
@@ -230,10 +224,63 @@ def join_similar(
     placed = by_set.select("set", "least").join(roots.withColumnRenamed("id", "set"), "set", "left")
     placed = stored(spark, placed.withColumn("root", F.coalesce("root", "set")), "set-roots")
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_name = stored(spark, spread_join(placed, names, "root").select("set", "component_id"), "set-components")
+    by_name = spread_join(placed, names, "root").select("set", "root", "component_id")
+    return sketch, stored(spark, by_name, "set-components")
+
+
+def join_similar(
+    spark: SparkSession, docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, row: str = "doc_id"
+) -> DataFrame:
+    """``row, n_shingles, component_id`` for every row of ``docs``.
+
+    ``component_id`` is the least ``row`` value in the component. A null or text without
+    words has no shingles and is linked with nothing; a text of fewer than ``k`` words is
+    one shingle; a null ``row`` value stays null but passes links on and never names a
+    component of others; repeated rows and equal texts are linked; an empty table gives no
+    rows; other columns are ignored.
+    """
+    sketch, by_name = components(spark, _texts(docs, row), k, percent)
     final = spread_join(sketch.select("row", "n", "set"), by_name, "set", "left")
     return final.select(
         F.col("row").alias(row),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("row")).alias("component_id"),
     )
+
+
+def keep_one(
+    spark: SparkSession, docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, row: str = "doc_id"
+) -> DataFrame:
+    """``docs`` with one row of each component, the one with the least ``row`` value.
+
+    All columns stay. Rows without words are in no component and all stay. Null ``row``
+    values come last; of rows that repeat the ``row`` value and text one stays.
+    """
+    sketch, by_name = components(spark, _texts(docs, row), k, percent)
+    placed = spread_join(sketch.filter("n > 0"), by_name.select("set", "root"), "set").select("row", "hash", "root")
+    placed = stored(spark, placed, "placed-rows")
+    order = F.struct(F.col("row").isNull().alias("last"), "row", "hash")
+    kept = placed.groupBy("root").agg(F.min(order).alias("kept"), F.count("*").alias("rows"))
+    kept = stored(spark, kept.filter("rows > 1").drop("rows"), "kept-rows")
+    several = spread_join(placed, kept, "root").withColumn("stays", order.eqNullSafe(F.col("kept")))
+    several = several.groupBy("row", "hash").agg(F.first("stays").alias("stays"))
+    several = stored(spark, several.toDF("__r", "__h", "stays"), "decided-rows")
+
+    table = marks.bit_table(spark, several, "__h")
+    keyed = docs.withColumns({"__row": F.col(row).cast("long"), "__hash": F.xxhash64(F.col("text").cast("string"))})
+    at = keyed.columns.index("__hash")
+
+    def passing(wanted: bool) -> DataFrame:
+        def batches_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = marks.marked(table.value, batch.column(at).to_numpy())
+                yield batch.filter(pa.array(hit == wanted))
+
+        return keyed.mapInArrow(batches_out, keyed.schema)
+
+    same = F.col("__row").eqNullSafe(F.col("__r")) & (F.col("__hash") == F.col("__h"))
+    gone = several.filter(~F.col("stays"))
+    left = passing(True).join(gone, same, "left_anti")
+    alone = left.join(several, same, "left_anti")
+    one = left.join(several, same, "left_semi").dropDuplicates(["__row", "__hash"])
+    return passing(False).union(alone).union(one).select(docs.columns)
