@@ -54,16 +54,23 @@ def digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def owner_of(name: bytes, n: int) -> int:
+    """A set's number in counting; odd if all its shingles count."""
+    return int.from_bytes(name[:8], "big", signed=True) & -2 | (n < SMALL)
+
+
 def sketch_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests = [], []
+        sizes, digests, owners = [], [], []
         for run in textkernel.runs(batch.column(2)):
             for tokens in token_sets(run, k):
+                name = digest(tokens) if len(tokens) else None
                 sizes.append(len(tokens))
-                digests.append(digest(tokens) if len(tokens) else None)
+                digests.append(name)
+                owners.append(owner_of(name, len(tokens)) if name else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())],
-            ["row", "hash", "n", "set"],
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(owners, pa.int64())],
+            ["row", "hash", "n", "set", "owner"],
         )
 
 
@@ -76,7 +83,7 @@ def sample_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> I
             for tokens in token_sets(run, k):
                 if not len(tokens):
                     continue
-                owner = int.from_bytes(digest(tokens)[:8], "big", signed=True)
+                owner = owner_of(digest(tokens), len(tokens))
                 if len(tokens) >= full_below:
                     tokens = tokens[: np.searchsorted(tokens, _SHARE_END)]
                 owners.append(np.full(len(tokens), owner, np.int64))
@@ -127,33 +134,28 @@ def _meet(x: np.ndarray, y: np.ndarray) -> bool:
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar enough."""
-    x = sets.select(F.col("set").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("set").alias("b"), F.col("tokens").alias("y"))
+    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = spread_join(spread_join(pairs, x, "a"), y, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(lambda b: link_batches(b, percent), "a binary, b binary")
+    return both.mapInArrow(lambda b: link_batches(b, percent), "a long, b long")
 
 
 def similar_sets(spark: SparkSession, sets: DataFrame, percent: int) -> DataFrame:
-    """``id, root`` for the sets that have partners; ``sets`` is a stored table."""
-    tokens = sets.select("set", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    repeated = tokens.join(counts, "token")
-    members = repeated.groupBy("set", "n").agg(
+    """``id, root`` for the sets that have partners; ``sets`` is a stored table ``id, tokens``."""
+    tokens = sets.select("id", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df"))
+    repeated = tokens.join(counts.filter("df > 1"), "token")
+    found = repeated.groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("found")  # at most one set
     )
-    lonely = F.col("n") - F.size("found")
-    room = lacking_column(F.col("n"), percent) + 1 - lonely
+    members = found.join(sets.select("id", F.size("tokens").alias("n")), "id")
+    members = members.withColumn("u", F.col("n") - F.size("found"))
+    room = lacking_column(F.col("n"), percent) + 1 - F.col("u")
     members = (
-        members.withColumn("u", lonely)
-        .filter(room > 0)
-        .select("set", "n", "u", F.explode(F.slice("found", F.lit(1), room)).alias("found"))
-        .select(
-            F.col("found.token").alias("key"), F.col("set").alias("id"),
-            (F.col("u") / F.col("n")).alias("rank"), "n", "u",
-        )
+        members.filter(room > 0)
+        .select("id", "n", "u", F.explode(F.slice("found", F.lit(1), room)).alias("found"))
+        .select(F.col("found.token").alias("key"), "id", (F.col("u") / F.col("n")).alias("rank"), "n", "u")
     )
     members = stored(spark, members, "prefixes")
-
     return linked_groups(spark, members, lambda pairs: linked(pairs, sets, percent), fits(percent))
 
 
@@ -184,16 +186,17 @@ def components(
     ``set, root, component_id`` of all sets but the empty one."""
     sketch = stored(
         spark,
-        texts.mapInArrow(lambda b: sketch_batches(b, k), "row long, hash long, n long, set binary"),
+        texts.mapInArrow(lambda b: sketch_batches(b, k), "row long, hash long, n long, set binary, owner long"),
         "sketches",
     )
-    owner = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long")
     by_set = stored(
         spark,
         sketch.filter("n > 0")
         .groupBy("set")
-        .agg(F.first("n").alias("n"), F.min(F.struct("row", "hash")).alias("held"), F.min("row").alias("least"))
-        .withColumn("owner", owner),
+        .agg(
+            F.first("n").alias("n"), F.first("owner").alias("owner"),
+            F.min(F.struct("row", "hash")).alias("held"), F.min("row").alias("least"),
+        ),
         "distinct-sets",
     )
 
@@ -202,27 +205,32 @@ def components(
         tokens.groupBy("token")
         .agg(F.min("owner").alias("owner"), F.max("owner").alias("other"))
         .filter(F.col("owner") == F.col("other"))
+        .filter((F.col("owner") % 2 != 0) | (F.col("token") < _SHARE_END))
         .groupBy("owner")
-        .agg(F.count("*").alias("every"), F.count_if(F.col("token") < _SHARE_END).alias("below"))
+        .agg(F.count("*").alias("alone"))
     )
-    alone = F.coalesce(F.when(F.col("n") < SMALL, F.col("every")).otherwise(F.col("below")), F.lit(0))
+    place = [F.coalesce("row", F.lit(-(1 << 63))).alias("row"), "hash"]
     candidates = stored(
         spark,
         by_set.join(lonely, "owner", "left")
-        .filter(alone <= lacking_column(F.col("n"), percent))
-        .select(F.col("held.row").alias("row"), F.col("held.hash").alias("hash")),
+        .filter(F.coalesce("alone", F.lit(0)) <= lacking_column(F.col("n"), percent))
+        .select("held.*")
+        .select(*place),
         "candidates",
     )
     table = marks.bit_table(spark, candidates, "hash")
     sets = texts.mapInArrow(
         lambda b: set_batches(b, table, k), "row long, hash long, set binary, tokens array<long>"
     )
-    matches = sets["row"].eqNullSafe(candidates["row"]) & (sets["hash"] == candidates["hash"])
-    sets = sets.join(candidates, matches, "left_semi").select("set", "tokens").dropDuplicates(["set"])
-    roots = similar_sets(spark, stored(spark, sets, "candidate-sets"), percent)
-
-    placed = by_set.select("set", "least").join(roots.withColumnRenamed("id", "set"), "set", "left")
-    placed = stored(spark, placed.withColumn("root", F.coalesce("root", "set")), "set-roots")
+    sets = sets.select(*place, "set", "tokens").join(candidates, ["row", "hash"], "left_semi")
+    sets = sets.dropDuplicates(["row", "hash"]).select(F.monotonically_increasing_id().alias("id"), "set", "tokens")
+    sets = stored(spark, sets, "candidate-sets")
+    roots = similar_sets(spark, sets.select("id", "tokens"), percent)
+    roots = sets.select("id", "set").join(roots, "id").select("set", "root")
+
+    placed = by_set.select("set", "least").join(roots, "set", "left")
+    named = F.coalesce(F.col("root").cast("string").cast("binary"), F.col("set"))  # a set is longer than any number
+    placed = stored(spark, placed.withColumn("root", named), "set-roots")
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_name = spread_join(placed, names, "root").select("set", "root", "component_id")
     return sketch, stored(spark, by_name, "set-components")

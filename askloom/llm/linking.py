@@ -1,10 +1,11 @@
 """Components of things that share keys and pass a comparison, without all pairs of a group.
 
 Every member is first compared with one pivot: of the best-ranked members of its groups,
-the best. Links found make components. After that, members of a group's largest component
-need no comparison with each other; each other member is compared with those members of
-the group that are in another component and fit. So no link between two components is
-missed, and within a component found by pivots no further pair is made.
+the best. Links found make components. Groups with the same largest component then become
+one, so that a pair which shares many keys is met once. Members of that component need no
+comparison with each other; each other member is compared with those members of the joint
+group that are in another component and fit. So no link between two components is missed,
+and within a component found by pivots no further pair is made.
 """
 
 from __future__ import annotations
@@ -51,17 +52,18 @@ def linked_groups(
         .agg(F.max(F.struct("members", "root")).getField("root").alias("main"), F.count("*").alias("roots"))
     )
     main = stored(spark, main.filter("roots > 1").drop("roots"), "main-roots")
-    open_ = stored(spark, spread_join(placed, main, "key"), "open-members")
+    open_ = spread_join(placed.drop("rank"), main, "key").drop("key").distinct()
+    open_ = stored(spark, open_, "open-members")
     apart = stored(spark, open_.filter(F.col("root") != F.col("main")), "apart-members")
 
     def named(df: DataFrame, end: str) -> DataFrame:
-        return df.select("key", *(F.col(c).alias(c + end) for c in df.columns if c != "key"))
+        return df.select("main", *(F.col(c).alias(c + end) for c in df.columns if c != "main"))
 
     again = (
         named(apart, "1")
-        .join(named(open_, "2"), "key")
+        .join(named(open_, "2"), "main")
         .filter(F.col("root1") != F.col("root2"))
-        .filter((F.col("root2") == F.col("main2")) | (F.col("id1") < F.col("id2")))
+        .filter((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2")))
         .filter(fits("1", "2"))
         .select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
         .distinct()
