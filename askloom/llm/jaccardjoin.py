@@ -272,7 +272,7 @@ def keep_one(
     kept = stored(spark, kept.filter("rows > 1").drop("rows"), "kept-rows")
     several = spread_join(placed, kept, "root").withColumn("stays", order.eqNullSafe(F.col("kept")))
     several = several.groupBy("row", "hash").agg(F.first("stays").alias("stays"))
-    several = stored(spark, several.toDF("__r", "__h", "stays"), "decided-rows")
+    several = stored(spark, several.toDF("__r", "__h", "__stays"), "decided-rows")
 
     table = marks.bit_table(spark, several, "__h")
     keyed = docs.withColumns({"__row": F.col(row).cast("long"), "__hash": F.xxhash64(F.col("text").cast("string"))})
@@ -287,7 +287,7 @@ def keep_one(
         return keyed.mapInArrow(batches_out, keyed.schema)
 
     same = F.col("__row").eqNullSafe(F.col("__r")) & (F.col("__hash") == F.col("__h"))
-    gone = several.filter(~F.col("stays"))
+    gone = several.filter(~F.col("__stays"))
     left = passing(True).join(gone, same, "left_anti")
     alone = left.join(several, same, "left_anti")
     one = left.join(several, same, "left_semi").dropDuplicates(["__row", "__hash"])

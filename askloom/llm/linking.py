@@ -1,7 +1,7 @@
 """Components of things that share keys and pass a comparison, without all pairs of a group.
 
-Every member is first compared with one pivot: of the best-ranked members of its groups,
-the best. Links found make components. Groups with the same largest component then become
+Every member is first compared with one pivot: of the best-ranked members of its groups
+that fit it, the best. Links found make components. Groups with the same largest component then become
 one, so that a pair which shares many keys is met once. Members of that component need no
 comparison with each other; each other member is compared with those members of the joint
 group that are in another component and fit. So no link between two components is missed,
@@ -32,13 +32,20 @@ def linked_groups(
     cheap condition that linked pairs meet, on columns of ``members`` with ``x`` and ``y``
     appended to their names.
     """
+    facts = [c for c in members.columns if c not in ("key", "rank", "id")]
     pivots = members.groupBy("key").agg(
-        F.min(F.struct("rank", "id")).alias("pivot"), F.min("id").alias("lo"), F.max("id").alias("hi")
+        F.min(F.struct("rank", "id", *facts)).alias("pivot"), F.min("id").alias("lo"), F.max("id").alias("hi")
     )
     pivots = stored(spark, pivots.filter("lo < hi").select("key", "pivot"), "pivots")
-    chosen = spread_join(members.select("key", "id"), pivots, "key")
-    chosen = chosen.groupBy("id").agg(F.min("pivot").alias("pivot"))
-    first = chosen.select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).filter("a != b")
+    met = spread_join(members.drop("rank"), pivots, "key").filter("id != pivot.id")
+    met = met.select(
+        F.struct("pivot.rank", "pivot.id").alias("pivot"),
+        "id",
+        *(F.col(f"pivot.{c}").alias(c + "1") for c in facts),
+        *(F.col(c).alias(c + "2") for c in facts),
+    )
+    chosen = met.filter(fits("1", "2")).groupBy("id").agg(F.min("pivot").alias("pivot"))
+    first = chosen.select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
     first = stored(spark, first, "first-pairs")
     links = stored(spark, compare(first), "first-links")
     roots = connected(spark, links)
