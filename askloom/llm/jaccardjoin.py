@@ -11,7 +11,8 @@ lack at most ``n - ceil(t * n)`` of them in any partner. This bound is used thre
    share one of their first ``n - ceil(t * n) + 1``. The first order puts the rarest first
    and makes groups of sets that share a prefix shingle. The second and third are rising
    and falling hash values. A pair is compared only if it passes all three.
-3. *Sizes.* With ``u`` lonely shingles in each, the overlap is at most ``min(n - u)``.
+3. *Sizes.* With ``u`` lonely shingles in each, the overlap is at most ``min(n - u)``; and
+   in each class of shingles by hash, at most the lesser number of such shingles there.
 
 Only components are wanted, so groups aren't turned into all their pairs (``linking``);
 pivots are the sets with the smallest share of lonely shingles.
@@ -36,6 +37,7 @@ SHINGLE = 5
 PERCENT = 80  # least Jaccard similarity in percent
 SMALL = 128  # below this size all shingles count, above it those under SHARE
 SHARE = 0.3
+SHAPE = 32  # hash classes of shingles, in each of which overlap is bounded
 _SHARE_END = int(SHARE * (1 << 63))
 
 
@@ -147,16 +149,46 @@ def similar_sets(spark: SparkSession, sets: DataFrame, percent: int) -> DataFram
     found = repeated.groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("found")  # at most one set
     )
-    members = found.join(sets.select("id", F.size("tokens").alias("n")), "id")
-    members = members.withColumn("u", F.col("n") - F.size("found"))
+    ranked = found.join(sets.select("id", F.size("tokens").alias("n")), "id")
+    ranked = ranked.withColumn("u", F.col("n") - F.size("found"))
     room = lacking_column(F.col("n"), percent) + 1 - F.col("u")
-    members = (
-        members.filter(room > 0)
-        .select("id", "n", "u", F.explode(F.slice("found", F.lit(1), room)).alias("found"))
-        .select(F.col("found.token").alias("key"), "id", (F.col("u") / F.col("n")).alias("rank"), "n", "u")
+    ranked = (
+        ranked.filter(room > 0)
+        .select("id", "n", "u", F.slice("found.token", F.lit(1), room).alias("keys"), F.col("found.token").alias("found"))
+        .mapInArrow(shape_batches, "id long, n int, u int, keys array<long>, shape array<int>")
     )
-    members = stored(spark, members, "prefixes")
-    return linked_groups(spark, members, lambda pairs: linked(pairs, sets, percent), fits(percent))
+    ranked = stored(spark, ranked, "ranked-sets")
+    members = ranked.select(F.explode("keys").alias("key"), "id", (F.col("u") / F.col("n")).alias("rank"), "n", "u")
+    return linked_groups(
+        spark,
+        members,
+        lambda pairs: linked(pairs, sets, percent),
+        fits(percent),
+        ranked.select("id", "shape"),
+        agree(percent),
+    )
+
+
+def shape_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the last column, lists of shingles, how many lie in each of ``SHAPE`` hash classes."""
+    for batch in batches:
+        column = batch.column(4)
+        values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+        shapes = [np.bincount(values[a:b] % SHAPE, minlength=SHAPE) for a, b in zip(offsets[:-1], offsets[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], pa.array(shapes, pa.list_(pa.int32()))], ["id", "n", "u", "keys", "shape"]
+        )
+
+
+def agree(percent: int):
+    """Whether the shingles that other sets hold too can overlap enough, class by class."""
+
+    def column(x: str, y: str) -> Column:
+        both = F.zip_with("shape" + x, "shape" + y, lambda a, b: F.least(a, b))
+        most = F.aggregate(both, F.lit(0), lambda a, b: a + b)
+        return (100 + percent) * most >= percent * (F.col("n" + x) + F.col("n" + y))
+
+    return column
 
 
 def fits(percent: int):

@@ -24,13 +24,16 @@ def linked_groups(
     members: DataFrame,
     compare: Callable[[DataFrame], DataFrame],
     fits: Callable[[str, str], Column],
+    profiles: DataFrame | None = None,
+    agree: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """``id, root`` of everything linked with something.
 
     ``members`` is a stored table ``key, id, rank`` and more; a low rank makes a pivot.
     ``compare`` keeps the linked rows of a table of pairs ``a, b``. ``fits(x, y)`` is a
     cheap condition that linked pairs meet, on columns of ``members`` with ``x`` and ``y``
-    appended to their names.
+    appended to their names. ``agree`` is a closer one for the pairs that pivots leave, on
+    the columns of ``profiles``, a table with a row per ``id``, as well.
     """
     facts = [c for c in members.columns if c not in ("key", "rank", "id")]
     pivots = members.groupBy("key").agg(
@@ -60,6 +63,8 @@ def linked_groups(
     )
     main = stored(spark, main.filter("roots > 1").drop("roots"), "main-roots")
     open_ = spread_join(placed.drop("rank"), main, "key").drop("key").distinct()
+    if profiles is not None:
+        open_ = spread_join(stored(spark, open_, "open-ids"), profiles, "id")
     open_ = stored(spark, open_, "open-members")
     apart = stored(spark, open_.filter(F.col("root") != F.col("main")), "apart-members")
 
@@ -71,7 +76,7 @@ def linked_groups(
         .join(named(open_, "2"), "main")
         .filter(F.col("root1") != F.col("root2"))
         .filter((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2")))
-        .filter(fits("1", "2"))
+        .filter(fits("1", "2") if agree is None else fits("1", "2") & agree("1", "2"))
         .select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
         .distinct()
     )

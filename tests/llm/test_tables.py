@@ -80,7 +80,7 @@ def link(href, kind="canonical"):
 
 def test_urls(spark):
     pages = [
-        (1, "http://A.example.net/en/1", None), (2, "https://b.net", ""), (3, "http://b.net/", "x"), (4, None, link("http://z.net/")),
+        (1, "http://A.example.net/en/1", None), (2, "https://b.net", ""), (3, "http://d.net/", "x"), (4, None, link("http://z.com/")),
         (5, "no scheme", link("/x")), (6, "http://x.org/fr/1?q#f", ""), (7, "http://x.org?x=/fr/", ""), (8, "http://notexample.com/de/", ""),
         (9, "http://example.com/de/x", ""), (10, "http://y.example.com/de/", ""), (11, "http://a.example.net/fr/", ""),
         (20, "http://alias1.com/a", link("http://alias2.com/b")), (21, "http://alias2.com/b", link("//c.net/z", "refresh")),

@@ -169,7 +169,7 @@ def test_decontamination(spark):
     texts = [plain.prose(rng, 2000) for _ in range(20)]
     for i, item in enumerate(items):
         at = rng.randrange(len(texts[i]))
-        texts[i] = texts[i][:at] + " " + item.upper().replace("É", "é") + "! " + texts[i][at:]
+        texts[i] = texts[i][:at] + ", " + item.replace(" ", " - ").replace("t", "T") + "! " + texts[i][at:]
         texts[i + 6] = plain.prose(rng, 900) + " " + plain.edited(rng, item, 1) + "\n" + plain.prose(rng, 5)
     rows = [*enumerate(texts), *((None if i is None else 50 + i, t) for i, t in plain.odd_rows()), (None, items[3])]
     docs = plain.documents(spark, rows, spread=True).withColumns({"item_id": F.lit("x"), "shared": F.lit(1)})
