@@ -12,13 +12,19 @@ from askloom.sources import collections
 from askloom.sources.documents import chunk
 
 POINTS_SQL = f"""
-SELECT c.doc_id * 1000000 + c.chunk_index AS id, c.text, d.source, c.chunk_index,
+SELECT ('0x' || substr(md5(c.doc_id || '/' || c.chunk_index), 1, 15))::BIGINT AS id, c.text, d.source, c.chunk_index,
        round(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS norm
 FROM ({LINES_SQL}) c JOIN documents d ON d.doc_id = c.doc_id
 JOIN embeddings e ON e.vec_id = c.doc_id
 """
 
 
+def chunk_id():
+    """An id from both key columns: sixty bits of a hash of their text."""
+    named = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
+
+
 def _points(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     chunks = chunk(documents, keys=("doc_id", "source"), delimiter="\n")
@@ -28,7 +34,7 @@ def _points(spark, sf_dir):
     embedded = chunks.select("doc_id", "chunk_index").join(vecs, "doc_id")
     return collections.as_points(
         collections.attach_vectors(chunks, embedded),
-        F.col("doc_id") * 1000000 + F.col("chunk_index"),
+        chunk_id(),
         source=F.col("source"),
         chunk_index=F.col("chunk_index"),
     )

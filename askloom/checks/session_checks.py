@@ -18,25 +18,43 @@ def messages(spark, sf_dir):
     )
 
 
+def with_tools(log):
+    """Some answers carry the raw calls that led to them, some a tool's name."""
+    answers = F.col("role") == "assistant"
+    calls = F.concat(F.lit('[{"turn": '), F.col("turn").cast("string"), F.lit("}]"))
+    return log.withColumns(
+        {
+            "tool_name": F.when(answers & (F.col("turn") % 3 == 0), F.lit("calculate")),
+            "tool_calls": F.when(answers & (F.col("turn") % 2 == 1), calls),
+        }
+    )
+
+
+TOOLS_SQL = """
+CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN 'calculate' END AS tool_name,
+CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN '[{"turn": ' || turn || '}]' END AS tool_calls
+"""
+
 MEMORY_SQL = f"""
 WITH numbered AS (
-  SELECT conv_id AS session_id, role, text AS content,
+  SELECT conv_id AS session_id, role, text AS content, {TOOLS_SQL},
          row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS row_no,
          sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run_no,
          sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS n_runs
   FROM conversations),
 memory AS (
-  SELECT session_id, (n_runs + row_no - 1)::BIGINT AS position, run_no::BIGINT AS run_no, role, content
+  SELECT session_id, (n_runs + row_no - 1)::BIGINT AS position, run_no::BIGINT AS run_no, role, content,
+         tool_name, tool_calls
   FROM numbered
   UNION ALL
-  SELECT session_id, (run_no - 1)::BIGINT, run_no::BIGINT, 'system', '{fixed.SYSTEM_TEXT}'
+  SELECT session_id, (run_no - 1)::BIGINT, run_no::BIGINT, 'system', '{fixed.SYSTEM_TEXT}', NULL, NULL
   FROM numbered WHERE role = 'user')
 """
 
 
-@check(MEMORY_SQL + "SELECT session_id, position, run_no, role, content FROM memory")
+@check(MEMORY_SQL + "SELECT session_id, position, run_no, role, content, tool_name, tool_calls FROM memory")
 def session_memory(spark, sf_dir):
-    return sessions.session_memory(messages(spark, sf_dir))
+    return sessions.session_memory(with_tools(messages(spark, sf_dir)))
 
 
 @check(
@@ -45,23 +63,78 @@ def session_memory(spark, sf_dir):
 , requests AS (
   SELECT conv_id AS session_id, arg_max(text, turn) AS question FROM conversations
   WHERE role = 'user' GROUP BY conv_id)
-SELECT session_id, 1 AS part, position, role, content FROM memory
+SELECT session_id AS request_id, session_id, 1 AS part, position, role, content, tool_name, tool_calls FROM memory
 WHERE session_id IN (SELECT session_id FROM requests)
-UNION ALL SELECT session_id, 0, 0, 'system', '{fixed.SYSTEM_TEXT}' FROM requests
-UNION ALL SELECT session_id, 2, 0, 'user', question FROM requests
+UNION ALL SELECT session_id, session_id, 0, 0, 'system', '{fixed.SYSTEM_TEXT}', NULL, NULL FROM requests
+UNION ALL SELECT session_id, session_id, 2, 0, 'user', question, NULL, NULL FROM requests
 """
 )
 def session_lookup(spark, sf_dir):
     """Messages of a new request per session: system text, stored memory, question."""
-    log = messages(spark, sf_dir)
-    path = scratch.new_path(spark, "memory")
-    sessions.session_memory(log).write.parquet(path)
+    log = with_tools(messages(spark, sf_dir))
     requests = (
         log.filter("role = 'user'")
         .groupBy("session_id")
         .agg(F.max_by("content", "turn").alias("question"))
+        .withColumn("request_id", F.col("session_id"))
+    )
+    return sessions.request_messages(requests, stored_memory(spark, log))
+
+
+def stored_memory(spark, log):
+    path = scratch.new_path(spark, "memory")
+    sessions.session_memory(log).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def open_requests(log):
+    """Every user message asked again, so that most sessions have several requests."""
+    return log.filter("role = 'user'").select(
+        F.concat_ws("-", F.col("session_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
+        "session_id",
+        F.col("content").alias("question"),
+    )
+
+
+REQUESTS_SQL = MEMORY_SQL + f"""
+, requests AS (
+  SELECT conv_id || '-' || turn AS request_id, conv_id AS session_id, text AS question FROM conversations
+  WHERE role = 'user'),
+sent AS (
+  SELECT request_id, session_id, 1 AS part, position, role, content FROM memory JOIN requests USING (session_id)
+  UNION ALL SELECT request_id, session_id, 0, 0, 'system', '{fixed.SYSTEM_TEXT}' FROM requests
+  UNION ALL SELECT request_id, session_id, 2, 0, 'user', question FROM requests)
+"""
+
+
+@check(REQUESTS_SQL + "SELECT * FROM sent")
+def session_requests(spark, sf_dir):
+    """Several open requests per session, told apart by their id."""
+    log = messages(spark, sf_dir)
+    return sessions.request_messages(open_requests(log), stored_memory(spark, log))
+
+
+@check(
+    REQUESTS_SQL
+    + """
+SELECT request_id, session_id,
+       to_json({'model': CASE WHEN session_id % 2 = 0 THEN '%s' ELSE '%s' END,
+                'messages': list({'role': role, 'content': content} ORDER BY part, position),
+                'tools': [{'type': 'function'}], 'tool_choice': 'auto', 'stream': false})::VARCHAR AS payload
+FROM sent GROUP BY request_id, session_id
+""".replace("%s", fixed.CHAT_AGENT_MODEL, 1).replace("%s", fixed.AGENT_MODEL, 1)
+)
+def agent_payloads(spark, sf_dir):
+    """Bodies of agent requests; the model left out follows the backend's style."""
+    log = messages(spark, sf_dir)
+    requests = open_requests(log)
+    style = F.when(F.col("session_id") % 2 == 0, "chat").otherwise("generate")
+    filled = scalars.agent_requests(requests.withColumn("model", F.lit(None).cast("string")), style)
+    filled = filled.select("request_id", "session_id", "model", F.lit(False).alias("stream"))
+    tools = F.array(F.struct(F.lit("function").alias("type")))
+    return sessions.agent_payloads(
+        sessions.request_messages(requests, stored_memory(spark, log)), filled, tools
     )
-    return sessions.request_messages(requests, spark.read.parquet(path))
 
 
 @check(
@@ -79,23 +152,23 @@ def session_totals(spark, sf_dir):
     """
 WITH runs AS (
   SELECT conv_id, turn, role, text,
-         conv_id * 1000 + sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END)
-           OVER (PARTITION BY conv_id ORDER BY turn) AS run_id
+         sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END)
+           OVER (PARTITION BY conv_id ORDER BY turn) AS run_no
   FROM conversations)
 SELECT conv_id AS session_id, turn, role, text AS content FROM runs
-WHERE run_id NOT IN (SELECT run_id FROM runs WHERE role = 'user' AND length(text) % 3 = 0)
+WHERE (conv_id, run_no) NOT IN (SELECT (conv_id, run_no) FROM runs WHERE role = 'user' AND length(text) % 3 = 0)
 """
 )
 def failed_runs_dropped(spark, sf_dir):
     """Runs with a question of certain lengths count as failed and store nothing."""
     runs = sessions.number_rows(
         messages(spark, sf_dir), ["session_id"], "turn", F.col("role") == "user"
-    ).withColumn("run_id", F.col("session_id") * 1000 + F.col("start_no"))
+    ).withColumnRenamed("start_no", "run_no")
     path = scratch.new_path(spark, "runs")
     runs.write.parquet(path)
     numbered = spark.read.parquet(path)
     failed = numbered.filter((F.col("role") == "user") & (F.length("content") % 3 == 0))
-    stored = sessions.drop_failed(numbered, failed)
+    stored = sessions.drop_failed(numbered, failed, ("session_id", "run_no"))
     return stored.select("session_id", "turn", "role", "content")
 
 

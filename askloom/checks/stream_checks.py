@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from askloom.checks import reply_checks, session_checks
 from askloom.checks.registry import check, table
@@ -10,6 +10,9 @@ from askloom.checks.text_checks import LINES_SQL
 from askloom.checks.vector_checks import TOPK_SQL, WIDTH, points, shown
 from askloom.operators import replies
 from askloom.plans import scratch
+from askloom.plans.ordered import number_rows
+from askloom.plans.skew import spread_join
+from askloom.sources.replies import stream_lines
 from askloom.streaming import jobs
 
 
@@ -57,6 +60,19 @@ def stream_replies(spark, sf_dir):
     return replies.reassemble(spark.read.parquet(out))
 
 
+@check(reply_checks.TEXT_SQL)
+def stream_replies_late(spark, sf_dir):
+    """Lines that arrive in two steps, later parts of replies first, a third of them twice."""
+    out, progress = _paths(spark, "tokens")
+    lines = reply_checks.ndjson_lines(spark, sf_dir)
+    lines_path = scratch.new_path(spark, "lines")
+    for late in (lines.filter("seq >= 5"), lines.filter("seq < 5 OR seq % 3 = 0")):
+        late.write.mode("append").json(lines_path)
+        arriving = stream_lines(spark, lines_path)
+        jobs.ingest_tokens(arriving, replies.ndjson_tokens, out, progress).awaitTermination()
+    return replies.reassemble(replies.once_each(spark.read.parquet(out)))
+
+
 @check(session_checks.MEMORY_SQL + "SELECT session_id, position, role, content FROM memory")
 def stream_sessions(spark, sf_dir):
     """Positions are counted on reading only, for the comparison with the batch form."""
@@ -65,10 +81,9 @@ def stream_sessions(spark, sf_dir):
         F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content")
     )
     jobs.remember_sessions(messages, out, progress).awaitTermination()
-    listed = Window.partitionBy("session_id").orderBy("part", "at")
-    return spark.read.parquet(out).select(
-        "session_id",
-        (F.row_number().over(listed) - 1).cast("long").alias("position"),
-        "role",
-        "content",
-    )
+    stored = spark.read.parquet(out)
+    leads = stored.filter(F.col("part") == jobs.LEAD).groupBy("session_id").agg(F.count("*").alias("leads"))
+    numbered = number_rows(stored, ["session_id", "part"], "at", F.lit(False))
+    placed = spread_join(numbered, leads, "session_id", "left")
+    before = F.when(F.col("part") == jobs.TURN, F.coalesce("leads", F.lit(0))).otherwise(0)
+    return placed.select("session_id", (before + F.col("row_no") - 1).alias("position"), "role", "content")

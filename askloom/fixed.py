@@ -52,6 +52,13 @@ PROMPT_HEAD = (
 )
 PROMPT_QUESTION = "\n\nQuestion: "
 PROMPT_TAIL = "\n\nAnswer:"
+SOURCE_LINE = "Source %d: %s"
+
+# The weather line around its two numbers, and what ends a preview.
+WEATHER_TEMPERATURE = "Temperature: "
+WEATHER_WIND = "°C, Wind: "
+WEATHER_END = " km/h"
+PREVIEW_END = "..."
 
 # Reply wire formats.
 FRAME_MARK = "\n---\n"

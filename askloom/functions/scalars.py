@@ -28,9 +28,13 @@ def search_requests(df: DataFrame) -> DataFrame:
     return df.withColumn("limit", or_default("limit", fixed.TOP_K))
 
 
-def agent_requests(df: DataFrame) -> DataFrame:
+def agent_requests(df: DataFrame, style: Column | str | None = None) -> DataFrame:
+    """Fill session and model; the model left out depends on ``style``, as in payloads."""
+    model = F.lit(fixed.AGENT_MODEL)
+    if style is not None:
+        model = F.when(col(style) == "chat", fixed.CHAT_AGENT_MODEL).otherwise(model)
     return df.withColumn("session_id", or_default("session_id", fixed.DEFAULT_SESSION)).withColumn(
-        "model", or_default("model", fixed.AGENT_MODEL)
+        "model", F.coalesce("model", model)
     )
 
 
@@ -76,9 +80,9 @@ def weather_values(body: Column | str) -> Column:
 def weather_text(body: Column | str) -> Column:
     """Report line that keeps each number as it is written in the payload."""
     return F.concat(
-        F.lit("Temperature: "),
+        F.lit(fixed.WEATHER_TEMPERATURE),
         F.get_json_object(col(body), "$.current.temperature_2m"),
-        F.lit("°C, Wind: "),
+        F.lit(fixed.WEATHER_WIND),
         F.get_json_object(col(body), "$.current.wind_speed_10m"),
-        F.lit(" km/h"),
+        F.lit(fixed.WEATHER_END),
     )

@@ -27,7 +27,7 @@ def fold_newlines(c: Column | str) -> Column:
 
 def preview(c: Column | str, n: int = fixed.PREVIEW_CHARS) -> Column:
     """First ``n`` code points followed by dots, whatever the text length."""
-    return F.concat(F.left(col(c), F.lit(n)), F.lit("..."))
+    return F.concat(F.left(col(c), F.lit(n)), F.lit(fixed.PREVIEW_END))
 
 
 def clip(c: Column | str, n: int = fixed.RESULT_CHARS) -> Column:

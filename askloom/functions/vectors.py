@@ -28,10 +28,10 @@ def cosine(
     norm_a: Column | None = None,
     norm_b: Column | None = None,
 ) -> Column:
-    """Cosine similarity; a zero vector gives NULL. Stored norms may be passed in."""
+    """Cosine similarity; zero and non-finite vectors give NULL. Stored norms may be passed in."""
     na = norm(a) if norm_a is None else norm_a
     nb = norm(b) if norm_b is None else norm_b
-    return F.try_divide(dot(a, b), na * nb)
+    return F.nullif(F.try_divide(dot(a, b), na * nb), F.lit(float("nan")))
 
 
 def profile(v: Column | str) -> list[Column]:
@@ -44,6 +44,10 @@ def profile(v: Column | str) -> list[Column]:
 
 
 def has_width(v: Column | str, width: int) -> Column:
-    """True only for a non-NULL vector of ``width`` non-NULL elements."""
+    """True only for a non-NULL vector of ``width`` finite elements."""
     sized = F.coalesce(F.size(col(v)) == width, F.lit(False))
-    return sized & ~F.exists(F.coalesce(col(v), F.array()), lambda x: x.isNull())
+
+    def unfit(x: Column) -> Column:
+        return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+
+    return sized & ~F.exists(F.coalesce(col(v), F.array()), unfit)

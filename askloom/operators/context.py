@@ -11,11 +11,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from askloom import fixed
 from askloom.functions.scalars import round_score
 from askloom.functions.text import preview
+from askloom.plans.skew import spread_join
 
 
 def with_text(hits: DataFrame, texts: DataFrame) -> DataFrame:
-    """Fetch the text of each hit after ranking; ``texts`` holds ``id, text``."""
-    return hits.join(texts.select("id", "text"), "id")
+    """Fetch the text of each hit after ranking; ``texts`` holds one ``id, text`` per id.
+
+    One point may be the hit of very many queries, so its hits are spread. A hit whose
+    text is missing keeps its rank and has an empty text.
+    """
+    found = spread_join(hits, texts.select("id", "text"), "id", "left")
+    return found.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def collect_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
@@ -31,7 +37,7 @@ def collect_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
 def context(hits: Column | str = "hits") -> Column:
     """Numbered sources, parted by blank lines; empty without hits."""
     numbered = F.transform(
-        hits, lambda h: F.concat(F.lit("Source "), h["rank"].cast("string"), F.lit(": "), h["text"])
+        hits, lambda h: F.format_string(fixed.SOURCE_LINE, h["rank"], h["text"])
     )
     return F.array_join(numbered, "\n\n")
 

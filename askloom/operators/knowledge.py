@@ -32,12 +32,11 @@ def answer_searches(
         "query", F.get_json_object("args", "$.query")
     )
     queries = asked.select("query").filter("query IS NOT NULL").distinct()
-    keyed = embed(queries).select(F.col("query").alias("query_id"), "vector")
+    name = F.sha2("query", 256).alias("query_id")
+    keyed = embed(queries).select(name, "vector")
     hits = search.top_k(keyed, points, width=width, limit=fixed.TOP_K, min_score=min_score)
     answered = context.collect_hits(
-        queries.withColumnRenamed("query", "query_id"), context.with_text(hits, texts)
-    )
-    results = answered.select(
-        F.col("query_id").alias("query"), context.knowledge_text().alias("result")
+        queries.select(name, "query"), context.with_text(hits, texts)
     )
+    results = answered.select("query", context.knowledge_text().alias("result"))
     return spread_join(asked, results, "query", "left").drop("query")

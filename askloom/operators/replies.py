@@ -71,6 +71,11 @@ def segments(tokens: DataFrame, size: int = SEGMENT) -> DataFrame:
     )
 
 
+def once_each(tokens: DataFrame) -> DataFrame:
+    """One row per ``(response_id, seq)`` of a token table in which lines may repeat."""
+    return tokens.dropDuplicates(["response_id", "seq"])
+
+
 def join_segments(parts: DataFrame) -> DataFrame:
     """Second step: one ``response_id, content`` row per reply from its segments."""
     grouped = parts.groupBy("response_id").agg(

@@ -97,7 +97,8 @@ def top_k(
 
 def _broadcast_table(asked: DataFrame, width: int) -> pa.Table | None:
     """The queries, if their vectors and hits stay within the broadcast bound."""
-    table = sizing.small_table(asked, sizing.query_rows(width, 0, sizing.BROADCAST_BYTES))
+    rows = sizing.query_rows(width, 0, sizing.BROADCAST_BYTES)
+    table = sizing.small_table(asked, rows, sizing.BROADCAST_BYTES)
     if table is None:
         return None
     most = pc.max(table.column("limit")).as_py() or 0

@@ -6,10 +6,12 @@ then grow without limit; no row or task ever holds it whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from askloom import fixed
-from askloom.plans.ordered import BUCKETS, number_rows
+from askloom.plans.ordered import number_rows
 from askloom.plans.skew import spread_join
 
 SYSTEM, HISTORY, QUESTION = 0, 1, 2
@@ -34,13 +36,16 @@ def message_list(question: Column, history: Column | None = None) -> Column:
 def request_messages(requests: DataFrame, memory: DataFrame) -> DataFrame:
     """Messages sent for each request: system text, session history, question.
 
-    ``requests`` holds one open request per ``session_id``; ``memory`` is the output of
-    ``session_memory``, read from where it is stored. Order by ``part, position``.
+    ``requests`` holds open requests, any number per ``session_id``, told apart by
+    ``request_id``; ``memory`` is the output of ``session_memory``, read from where it is
+    stored. The messages of a request are its rows ordered by ``part, position``; further
+    columns of the memory, such as tool fields, are NULL outside the history.
     """
-    past = spread_join(memory, requests.select("session_id"), "session_id").select(
-        "session_id", F.lit(HISTORY).alias("part"), "position", "role", "content"
-    )
+    facts = [c for c in memory.columns if c not in ("session_id", "run_no")]
+    past = spread_join(memory.select("session_id", *facts), requests.select("request_id", "session_id"), "session_id")
+    past = past.select("request_id", "session_id", F.lit(HISTORY).alias("part"), *facts)
     own = requests.select(
+        "request_id",
         "session_id",
         F.inline(
             F.array(
@@ -49,7 +54,25 @@ def request_messages(requests: DataFrame, memory: DataFrame) -> DataFrame:
             )
         ),
     )
-    return own.unionByName(past)
+    return past.unionByName(own, allowMissingColumns=True)
+
+
+def agent_payloads(sent: DataFrame, requests: DataFrame, tools: Column) -> DataFrame:
+    """``request_id, session_id, payload``: the body an agent request sends, as JSON text.
+
+    ``sent`` is the output of ``request_messages``; ``requests`` gives ``model`` and
+    ``stream``; ``tools`` are the tool descriptions, the same for all. A request is one
+    body and so its messages are collected, in order. NULL fields are left out.
+    """
+    facts = [c for c in sent.columns if c not in ("request_id", "session_id", "part", "position")]
+    listed = sent.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("part", "position", *facts))).alias("sent")
+    )
+    messages = F.transform("sent", lambda m: F.struct(*(m[c].alias(c) for c in facts)))
+    body = F.struct(
+        "model", messages.alias("messages"), tools.alias("tools"), F.lit("auto").alias("tool_choice"), "stream"
+    )
+    return listed.join(requests, "request_id").select("request_id", "session_id", F.to_json(body).alias("payload"))
 
 
 def _part(part: int, role: str, content: Column) -> Column:
@@ -61,22 +84,28 @@ def _part(part: int, role: str, content: Column) -> Column:
     )
 
 
-def drop_failed(messages: DataFrame, failed_runs: DataFrame) -> DataFrame:
-    """A run that raised stores nothing."""
-    return spread_join(messages, failed_runs.select("run_id").distinct(), "run_id", "left_anti")
+def drop_failed(
+    messages: DataFrame, failed_runs: DataFrame, keys: tuple[str, ...] = ("run_id",)
+) -> DataFrame:
+    """A run that raised stores nothing; ``keys`` together name a run."""
+    return spread_join(messages, failed_runs.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def session_memory(
-    messages: DataFrame, order: str = "turn", sizes: tuple[int, ...] = BUCKETS
+    messages: DataFrame, order: str = "turn", sizes: tuple[int, ...] | None = None
 ) -> DataFrame:
     """Stored list of every session: ``session_id, position, run_no, role, content``.
 
+    Further columns of ``messages``, such as ``tool_name`` and ``tool_calls``, stay; they
+    are NULL in the system messages. Messages without a session form one of their own.
+
     A user message opens a run. Each run prepends another system message to a list that
     already starts with those of earlier runs, so ``n`` of them lead after ``n`` runs.
     The list as it was after run ``r`` is the rows with ``run_no <= r``.
     """
+    facts = [c for c in messages.columns if c not in ("session_id", "role", "content", order)]
     numbered = number_rows(
-        messages.select("session_id", F.col(order).alias("__at"), "role", "content"),
+        messages.select("session_id", F.col(order).alias("__at"), "role", "content", *facts),
         ["session_id"],
         "__at",
         F.col("role") == "user",
@@ -88,18 +117,25 @@ def session_memory(
         lead_and_turn(
             lead=[(F.col("start_no") - 1).alias("position"), run_no],
             turn=[(F.col("n_starts") + F.col("row_no") - 1).alias("position"), run_no],
+            facts=[numbered.schema[c] for c in facts],
         ),
     )
 
 
-def lead_and_turn(lead: list[Column], turn: list[Column]) -> Column:
+def lead_and_turn(
+    lead: list[Column], turn: list[Column], facts: Sequence[T.StructField] = ()
+) -> Column:
     """Rows a message adds to its session's list, with their places given by the caller.
 
     Every message adds itself; one that opens a run also adds a leading system message.
     """
     first = F.struct(
-        *lead, F.lit("system").alias("role"), F.lit(fixed.SYSTEM_TEXT).alias("content")
+        *lead,
+        F.lit("system").alias("role"),
+        F.lit(fixed.SYSTEM_TEXT).alias("content"),
+        *(F.lit(None).cast(f.dataType).alias(f.name) for f in facts),
     )
-    own = F.struct(*turn, F.col("role").alias("role"), F.col("content").alias("content"))
+    kept = [F.col(c).alias(c) for c in ("role", "content", *(f.name for f in facts))]
+    own = F.struct(*turn, *kept)
     opens = F.col("role") == "user"
     return F.inline(F.when(opens, F.array(first, own)).otherwise(F.array(own)))

@@ -18,7 +18,7 @@ from askloom.functions.text import clip
 from askloom.plans import sizing
 
 SALTS = 1024  # slices of one kind of call when repeats are flagged
-CATALOGUE_ROWS = 10_000  # tools; more are joined by a shuffle
+CATALOGUE_BYTES = 8 << 20  # names and arguments of tools; more are joined by a shuffle
 
 _CALL = "struct<function: struct<name: string, arguments: string>>"
 _RAW = f"content string, tool_calls array<{_CALL}>"
@@ -28,8 +28,11 @@ def normalize_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """Parse assistant messages: add ``content`` and ``tool_calls`` from their JSON text.
 
     Arguments may be a JSON object or a string holding one; both arrive as text here.
-    Content that is NULL becomes empty.
+    Content that is NULL becomes empty. ``unreadable`` marks a raw text that is no JSON
+    object: such a reply is no answer, its run failed (``sessions.drop_failed``).
     """
+    raw_text = F.trim(F.coalesce(F.col(raw), F.lit("")))
+    readable = raw_text.startswith("{") & F.try_parse_json(raw_text).isNotNull()
     parsed = F.from_json(F.col(raw), _RAW)
     calls = F.transform(
         F.coalesce(F.col("__raw.tool_calls"), F.array().cast(f"array<{_CALL}>")),
@@ -39,6 +42,7 @@ def normalize_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
     )
     return (
         messages.withColumn("__raw", parsed)
+        .withColumn("unreadable", ~readable)
         .withColumn("content", F.coalesce("__raw.content", F.lit("")))
         .withColumn("tool_calls", calls)
         .drop("__raw")
@@ -177,7 +181,7 @@ def validate_calls(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
     reason = F.when(F.col("required").isNull(), F.lit("unknown tool")).when(
         F.size(missing) > 0, F.concat(F.lit("missing argument: "), F.array_join(missing, ", "))
     )
-    known = sizing.broadcast_if_small(catalogue, CATALOGUE_ROWS)
+    known = sizing.broadcast_if_small(catalogue, CATALOGUE_BYTES)
     return calls.join(known, "name", "left").withColumn("reason", reason).drop("required")
 
 

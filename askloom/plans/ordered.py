@@ -5,13 +5,21 @@ buckets of its integer order column, and if need be the buckets into larger ones
 window sees one bucket; totals of what lies before it come from the level above, so a
 session holding a third of all rows is spread like any other. One level is enough for
 10^11 rows in a group: two million bucket totals remain for the window over the group.
+The width of a bucket follows the density of the order column, so a sparse order, such as
+a time, makes buckets of as many rows as a dense one. Keys may be NULL.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = (65536,)
+BUCKET_ROWS = 65536
+
+
+def bucket_sizes(df: DataFrame, order: str, rows: int = BUCKET_ROWS) -> tuple[int, ...]:
+    """Width of a bucket that holds ``rows`` rows on average, from one pass over ``order``."""
+    found = df.agg(F.count(order).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    return (max(1, (found["hi"] - found["lo"] + 1) * rows // found["n"]),) if found["n"] else (rows,)
 
 
 def bucket_of(order: str, size: int) -> Column:
@@ -48,7 +56,9 @@ def running_sums(
         *(F.col(f"{n}_before").alias(f"__{n}_offset") for n in names),
         *(f"{n}_total" for n in names),
     )
-    placed = cut.join(offsets, [*keys, bucket])
+    held = offsets.withColumnsRenamed({k: f"__held_{k}" for k in [*keys, bucket]})
+    same = [F.col(k).eqNullSafe(F.col(f"__held_{k}")) for k in [*keys, bucket]]
+    placed = cut.join(held, same).drop(*(f"__held_{k}" for k in [*keys, bucket]))
     inside = {
         f"{n}_before": F.col(f"__{n}_offset") + before(n, [*keys, bucket]) for n in names
     }
@@ -56,16 +66,22 @@ def running_sums(
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], order: str, starts: Column, sizes: tuple[int, ...] = BUCKETS
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    starts: Column,
+    sizes: tuple[int, ...] | None = None,
 ) -> DataFrame:
     """Add positions to rows ordered by ``order``, an integer unique within ``keys``.
 
     ``row_no`` counts rows and ``start_no`` counts rows where ``starts`` holds, both up
     to and including the row; ``n_starts`` is the total of the latter in the group.
+    Without ``sizes`` the order column is read once more to choose them.
     """
     marked = df.withColumn("__row", F.lit(1).cast("long")).withColumn(
         "__start", F.coalesce(starts, F.lit(False)).cast("long")
     )
+    sizes = bucket_sizes(df, order) if sizes is None else sizes
     summed = running_sums(marked, keys, order, ["__row", "__start"], sizes)
     return (
         summed.withColumn("row_no", F.col("__row_before") + 1)

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 _KEY = "spark.checkpoint.dir"
-_local: list[tempfile.TemporaryDirectory] = []
+LOCAL_ROOT = "/tmp/askloom-checkpoints"  # where one process is all there is
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only in local mode."""
+    """The shared folder the session names. Who names it also deletes what is in it."""
     named = spark.conf.get(_KEY, None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {_KEY} to a folder that all executors can reach")
-    if not _local:
-        _local.append(tempfile.TemporaryDirectory(prefix="askloom-"))
-    return _local[0].name
+    return LOCAL_ROOT
 
 
 def new_path(spark: SparkSession, name: str) -> str:

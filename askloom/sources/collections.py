@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from askloom.functions import vectors
+from askloom.plans import scratch
 
 
 def attach_vectors(
     chunks: DataFrame, embedded: DataFrame, on: tuple[str, ...] = ("doc_id", "chunk_index")
 ) -> DataFrame:
-    """Bring chunks and vectors together by key, never by row order."""
-    return chunks.join(embedded, list(on))
+    """Bring chunks and vectors together by key, never by row order.
+
+    A chunk without a vector stays, with a NULL vector, and so comes among the rejects of
+    ``split_by_width`` and ``create_collection``.
+    """
+    return chunks.join(embedded, list(on), "left")
 
 
 def as_points(
@@ -44,10 +49,13 @@ def create_collection(
     """Write a new collection. An existing path is an error unless ``replace`` is set.
 
     Points of another width go to the ``rejects`` path; without one they fail the write.
+    With one, the points are computed once, into the shared folder, and split from there.
     """
     mode = "overwrite" if replace else "errorifexists"
-    accepted, rejected = split_by_width(points, width)
     if rejects is not None:
+        staged = scratch.new_path(points.sparkSession, "points")
+        points.write.parquet(staged)
+        accepted, rejected = split_by_width(points.sparkSession.read.parquet(staged), width)
         rejected.write.mode(mode).parquet(rejects)
     else:
         ok = vectors.has_width("vector", width)
@@ -59,18 +67,16 @@ def create_collection(
 def upsert(old: DataFrame, new: DataFrame, version: str | None = None) -> DataFrame:
     """Points of ``new`` replace whole points of ``old`` with the same id.
 
-    If ``new`` itself repeats ids, name the ``version`` column that tells which one is
-    the latest; the ranked filter is pruned before the shuffle.
+    If ``new`` repeats ids, the highest ``version`` stays, and of equal versions, or
+    without such a column, the point whose JSON text is last; the ranked filter is pruned
+    before the shuffle.
     """
-    kept = old.join(new.select("id"), "id", "left_anti")
-    if version is not None:
-        latest = Window.partitionBy("id").orderBy(F.desc(version))
-        new = (
-            new.withColumn("__rank", F.row_number().over(latest))
-            .filter("__rank = 1")
-            .drop("__rank", version)
-        )
-    return kept.unionByName(new)
+    kept = old.join(new.select("id").distinct(), "id", "left_anti")
+    others = [c for c in new.columns if c != version]
+    ties = F.desc(F.to_json(F.struct(*others)))
+    latest = Window.partitionBy("id").orderBy(*([] if version is None else [F.desc(version)]), ties)
+    new = new.withColumn("__rank", F.row_number().over(latest)).filter("__rank = 1")
+    return kept.unionByName(new.select(others))
 
 
 def upsert_version(

@@ -9,7 +9,7 @@ from askloom.functions.text import fold_newlines, paragraphs
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text file: its name as ``doc_id`` and its whole text."""
+    """One row per text file: its path as ``doc_id`` and its whole text, at most 2 GB."""
     return from_files(spark.read.text(path, wholetext=True))
 
 
@@ -19,8 +19,9 @@ def literal_documents(spark: SparkSession, texts: list[str]) -> DataFrame:
 
 
 def from_files(files: DataFrame) -> DataFrame:
+    path = F.regexp_replace("_metadata.file_path", "^file:/+", "/")  # batch and stream differ in it
     return files.select(
-        F.col("_metadata.file_name").alias("doc_id"), fold_newlines("value").alias("text")
+        path.alias("doc_id"), fold_newlines("value").alias("text")
     )
 
 

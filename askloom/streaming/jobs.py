@@ -52,34 +52,31 @@ def ingest_tokens(
     path: str,
     checkpoint: str,
     *,
-    arrived: str | None = None,
-    delay: str = "10 minutes",
     once: bool = True,
 ) -> StreamingQuery:
     """Parse reply lines into a token table, to be read by ``replies.reassemble``.
 
-    If lines can be delivered twice, name the ``arrived`` timestamp column: repeats of a
-    ``(response_id, seq)`` within ``delay`` are dropped and state stays bounded.
+    Every line is stored, however late it comes. If lines can be delivered twice, read
+    the table through ``replies.once_each``.
     """
-    if arrived is not None:
-        lines = lines.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(
-            ["response_id", "seq"]
-        )
     return append(parse(lines), path, checkpoint, once)
 
 
 def search_stream(
     queries: DataFrame,
-    points: DataFrame,
+    points: DataFrame | Callable[[], DataFrame],
     path: str,
     checkpoint: str,
     once: bool = True,
     **options,
 ) -> StreamingQuery:
-    """Run ``top_k`` with ``options`` on each batch of arriving queries."""
+    """Run ``top_k`` with ``options`` on each batch of arriving queries.
+
+    ``points`` may be a function that gives the collection as it is when a batch starts.
+    """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        hits = search.top_k(batch, points, **options)
+        hits = search.top_k(batch, points() if callable(points) else points, **options)
         hits.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _start(queries.writeStream.foreachBatch(answer), checkpoint, once)
@@ -97,6 +94,7 @@ def session_log(messages: DataFrame, order: str = "turn") -> DataFrame:
         lead_and_turn(
             lead=[F.lit(LEAD).alias("part"), F.col(order).alias("at")],
             turn=[F.lit(TURN).alias("part"), F.col(order).alias("at")],
+            facts=[f for f in messages.schema if f.name not in ("session_id", "role", "content", order)],
         ),
     )
 

@@ -93,22 +93,25 @@ def test_collections_are_created_once_replaced_and_versioned(spark, tmp_path):
     merged = spark.read.parquet(new)
     assert rows(merged.select("id", "payload.text")) == [(1, "b"), (2, "d"), (3, "e")]
     assert collections.count_points(merged).first()[0] == 3
+    twice = points(spark, [(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "y")])
+    assert rows(collections.upsert(merged, twice).filter("id = 1").select("payload.text")) == [("y",)]
 
 
 def test_width_check_sends_everything_somewhere(spark):
-    data = [(1, [1.0, 2.0], ""), (2, [1.0], ""), (3, None, ""), (4, [None, 1.0], "")]
+    nan, inf = float("nan"), float("inf")
+    data = [(1, [1.0, 2.0], ""), (2, [1.0], ""), (3, None, ""), (4, [None, 1.0], ""), (5, [nan, 1.0], ""), (6, [1.0, -inf], "")]
     accepted, rejected = collections.split_by_width(points(spark, data), 2)
     assert [r[0] for r in rows(accepted.select("id"))] == [1]
-    assert [r[0] for r in rows(rejected.select("id"))] == [2, 3, 4]
+    assert [r[0] for r in rows(rejected.select("id"))] == [2, 3, 4, 5, 6]
 
 
 def test_chunks_and_vectors_meet_by_key(spark):
-    chunks = spark.createDataFrame([("d", 1, "b"), ("d", 0, "a")], "doc_id string, chunk_index int, text string")
+    chunks = spark.createDataFrame([("d", 1, "b"), ("d", 0, "a"), ("e", 0, "c")], "doc_id string, chunk_index int, text string")
     vecs = spark.createDataFrame(
         [("d", 0, [0.0]), ("d", 1, [1.0])], "doc_id string, chunk_index int, vector array<float>"
     )
     joined = collections.attach_vectors(chunks, vecs)
-    assert rows(joined.select("text", "vector")) == [("a", [0.0]), ("b", [1.0])]
+    assert rows(joined.select("text", "vector")) == [("a", [0.0]), ("b", [1.0]), ("c", None)]
 
 
 def test_lexical_vectors_are_unit_and_rank_shared_words_first(spark):

@@ -187,3 +187,12 @@ def test_probing_few_clusters_reads_few_partitions_and_keeps_recall(clustered):
     assert "cluster" in filters[: filters.index("]") + 1]
     want = set(rows(search.top_k(one, points, width=WIDTH)))
     assert len(want & set(rows(got))) >= 0.9 * len(want)
+
+
+def test_nearest_leaves_out_malformed_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [inf, 1.0]), (6, [1.0, 1.0]), (7, [1.0])]
+    points = spark.createDataFrame(data, "id long, vector array<float>")
+    query = F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
+    got = [r["id"] for r in search.nearest(points, query).collect()]
+    assert got == [1, 6]

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from askloom import fixed
 from askloom.operators import sessions
-from askloom.plans.ordered import number_rows
+from askloom.plans.ordered import bucket_sizes, number_rows
 
 MESSAGES = "session_id string, turn long, role string, content string"
 
@@ -48,22 +48,46 @@ def test_earlier_lists_are_the_rows_of_earlier_runs(spark):
 
 def test_requests_see_their_history_in_order(spark):
     memory = sessions.session_memory(spark.createDataFrame(LOG, MESSAGES))
-    requests = spark.createDataFrame([("b", "next?"), ("new", "hello?")], "session_id string, question string")
-    sent = sessions.request_messages(requests, memory).orderBy("session_id", "part", "position").collect()
+    requests = spark.createDataFrame([(1, "b", "next?"), (2, "new", "hello?"), (3, "b", "and?")], "request_id int, session_id string, question string")
+    sent = sessions.request_messages(requests, memory).orderBy("request_id", "part", "position").collect()
     system = ("system", fixed.SYSTEM_TEXT)
     assert [(r["role"], r["content"]) for r in sent if r["session_id"] == "new"] == [
         system,
         ("user", "hello?"),
     ]
-    assert [(r["role"], r["content"]) for r in sent if r["session_id"] == "b"] == (
+    assert [(r["role"], r["content"]) for r in sent if r["request_id"] == 1] == (
         [system] + replay(LOG)["b"] + [("user", "next?")]
     )
+    assert [(r["role"], r["content"]) for r in sent if r["request_id"] == 3] == (
+        [system] + replay(LOG)["b"] + [("user", "and?")]
+    )
+
+
+def test_memory_keeps_null_sessions_and_tool_fields(spark):
+    data = [(None, 5_000_000, "user", "q", None, None), (None, 9_000_000, "assistant", "a", "calculate", "[1]")]
+    df = spark.createDataFrame(data, MESSAGES + ", tool_name string, tool_calls string")
+    stored = sessions.session_memory(df).orderBy("position").collect()
+    assert [(r["role"], r["tool_name"], r["tool_calls"]) for r in stored] == [
+        ("system", None, None),
+        ("user", None, None),
+        ("assistant", "calculate", "[1]"),
+    ]
 
 
 def test_failed_runs_store_nothing(spark):
     messages = spark.createDataFrame([(1, "x"), (2, "y")], "run_id int, content string")
     failed = spark.createDataFrame([(2,), (2,)], "run_id int")
     assert rows(sessions.drop_failed(messages, failed)) == [(1, "x")]
+    runs = spark.createDataFrame([(1, 1001), (2, 1), (None, 1)], "session_id int, run_no int")
+    failed = runs.filter("session_id = 2 OR session_id IS NULL")
+    assert rows(sessions.drop_failed(runs, failed, ("session_id", "run_no"))) == [(1, 1001)]
+
+
+def test_sparse_orders_still_make_buckets_of_many_rows(spark):
+    df = spark.range(200_000).select(F.lit("s").alias("k"), (F.col("id") * 1_000_000).alias("o"))
+    (width,) = bucket_sizes(df, "o", 10_000)
+    per_bucket = df.groupBy(F.floor(F.col("o") / width)).count()
+    assert per_bucket.agg(F.max("count")).first()[0] <= 10_001 and per_bucket.count() <= 21
 
 
 def test_numbering_handles_negative_and_sparse_orders(spark):

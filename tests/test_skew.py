@@ -56,6 +56,7 @@ def test_history_of_one_hot_session_is_spread(spark, shuffled):
         i.cast("string").alias("content"),
     )
     requests = memory.select("session_id").distinct().withColumn("question", F.lit("?"))
+    requests = requests.withColumn("request_id", F.col("session_id"))
     plain = memory.join(requests, "session_id")
     assert largest_share(plain) > 0.35
     sent = sessions.request_messages(requests, memory)
@@ -64,7 +65,7 @@ def test_history_of_one_hot_session_is_spread(spark, shuffled):
     assert largest_share(spread) < 0.2
 
 
-def test_texts_of_one_hot_hit_are_split_by_spark(spark, shuffled):
+def test_texts_of_one_hot_hit_are_spread(spark, shuffled):
     i = F.col("id")
     hits = spark.range(60000).select(
         F.sha2(i.cast("string"), 256).alias("query_id"),
@@ -73,6 +74,15 @@ def test_texts_of_one_hot_hit_are_split_by_spark(spark, shuffled):
         F.lit(0.5).alias("score"),
     )
     texts = spark.range(-1, 60000).select("id", F.lit("x").alias("text"))
-    joined = context.with_text(hits.repartition(8), texts)
-    assert len(joined.collect()) == 60000
-    assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    assert largest_share(hits.join(texts, "id")) > 0.35
+    joined = context.with_text(hits.repartition(8), texts.filter("id <> 1"))
+    assert joined.count() == 60000 and joined.filter("text = ''").count() == 1
+    assert largest_share(joined) < 0.2
+
+
+def test_joint_keys_match_nulls(spark, shuffled):
+    long = spark.createDataFrame([(None, 1, "a"), (2, None, "b"), (2, 2, "c")], "x int, y int, v string")
+    keys = spark.createDataFrame([(None, 1), (2, None)], "x int, y int")
+    assert sorted(r["v"] for r in skew.spread_join(long, keys, ["x", "y"]).collect()) == ["a", "b"]
+    maps = long.withColumn("m", F.create_map(F.lit("k"), F.col("v")))
+    assert skew.spread_join(maps, keys, ["x", "y"], "left_anti").count() == 1

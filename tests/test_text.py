@@ -9,32 +9,47 @@ from askloom.functions import scalars, text
 from askloom.sources.documents import chunk, literal_documents, read_documents
 
 
-def rule(value, delimiter="\n\n"):
-    """The chunk rule in plain Python."""
-    return [p.strip() for p in value.split(delimiter) if p.strip() and not p.startswith("#")]
-
-
-EDGES = [
-    "",
-    "# t\n\nx",
-    "a\n\n\n# b",
-    " # keep\n\nb",
-    "a\n\n\n\nb",
-    "\xa0\ta　\n\n \n\nb",
-    "#",
-    "\n\n\n",
-    "\n# x",
+# text, delimiter, chunks
+PIECES = [
+    ("", "\n\n", []),
+    ("# t\n\nx", "\n\n", ["x"]),
+    ("a\n\n\n# b", "\n\n", ["a", "# b"]),
+    (" # keep\n\nb", "\n\n", ["# keep", "b"]),
+    ("a\n\n\n\nb", "\n\n", ["a", "b"]),
+    ("\xa0\ta　\n\n \n\nb", "\n\n", ["a", "b"]),
+    ("#", "\n\n", []),
+    ("\n\n\n", "\n\n", []),
+    ("\n# x", "\n\n", ["# x"]),
+    ("a\n# x\n b \n\nc", "\n", ["a", "b", "c"]),
+    ("one. two .#no. .three", ".", ["one", "two", "three"]),
+    ("xa#ya#\x1c\x85 z", "a#", ["x", "y", "z"]),
+    ("no delimiter", "\n", ["no delimiter"]),
 ]
 
 
-def test_chunks_equal_the_rule_on_edges_and_random_texts(spark):
+def test_pieces_give_the_expected_chunks(spark):
+    for delimiter in {d for _, d, _ in PIECES}:
+        cases = [(t, c) for t, d, c in PIECES if d == delimiter]
+        df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id int, text string")
+        want = [(i, j, piece) for i, (_, chunks) in enumerate(cases) for j, piece in enumerate(chunks)]
+        assert rows(chunk(df, delimiter=delimiter)) == sorted(want)
+
+
+def test_chunks_of_random_texts_are_clean_and_in_order(spark):
     rng = random.Random(5)
-    alphabet = "ab#\n\n\n \t\r\x0b\x1c\x85\xa0 ​😀"
-    texts = EDGES + ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(2000)]
+    alphabet = "ab#\n\n\n \t\r\x0b\x1c\x85\xa0 ​😀"
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(2000)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    for delimiter in ["\n\n", "\n", ".", "a#"]:
-        want = [(i, j, c) for i, t in enumerate(texts) for j, c in enumerate(rule(t, delimiter))]
-        assert rows(chunk(df, delimiter=delimiter)) == sorted(want)
+    seen = {}
+    for doc_id, index, piece in rows(chunk(df)):
+        assert piece and not piece[0].isspace() and not piece[-1].isspace() and "\n\n" not in piece
+        past = seen.setdefault(doc_id, [])
+        assert index == len(past)
+        past.append(piece)
+    for doc_id, pieces in seen.items():
+        at = 0
+        for piece in pieces:  # each lies behind the one before it
+            at = texts[doc_id].index(piece, at) + len(piece)
 
 
 def test_chunking_does_not_shuffle(spark):
@@ -46,13 +61,9 @@ def test_files_are_read_whole_with_folded_newlines(spark, tmp_path):
     (tmp_path / "one.txt").write_bytes("a\r\n\r\nb\r\rc\n\n# d".encode())
     (tmp_path / "two.txt").write_bytes("é".encode())
     documents = read_documents(spark, str(tmp_path))
-    assert rows(documents) == [("one.txt", "a\n\nb\n\nc\n\n# d"), ("two.txt", "é")]
-    assert rows(chunk(documents)) == [
-        ("one.txt", 0, "a"),
-        ("one.txt", 1, "b"),
-        ("one.txt", 2, "c"),
-        ("two.txt", 0, "é"),
-    ]
+    one, two = (f"{tmp_path}/{name}.txt" for name in ("one", "two"))
+    assert rows(documents) == [(one, "a\n\nb\n\nc\n\n# d"), (two, "é")]
+    assert rows(chunk(documents)) == [(one, 0, "a"), (one, 1, "b"), (one, 2, "c"), (two, 0, "é")]
 
 
 def test_literal_documents_are_numbered(spark):
@@ -87,6 +98,8 @@ def test_defaults_and_blank_questions(spark):
     assert rows(asked.select("question", "limit")) == [("why?", 3), ("x", 9)]
     chosen = asked.select("question", scalars.or_model("model"))
     assert rows(chosen) == [("why?", fixed.GENERATE_MODEL), ("x", "m")]
+    by_style = scalars.agent_requests(df.withColumn("style", F.lit("chat")).filter("model IS NULL"), "style")
+    assert {r["model"] for r in by_style.collect()} == {fixed.CHAT_AGENT_MODEL}
     agents = scalars.agent_requests(df.filter("limit IS NULL"))
     assert {r["session_id"] for r in agents.collect()} == {"default"}
 
