@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from askloom.llm import decontamination, jaccardjoin, linededup, packing, personal, quality, secrets, sharding, tokencounts, urlfilter
+from askloom.llm.oracles import ORACLE_SQL  # noqa: F401  (read by the entry point)
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 RANK_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -78,5 +79,3 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
 }
-
-ORACLE_SQL: dict[str, str] = {}
