@@ -4,8 +4,9 @@ Every member is first compared with one pivot: of the best-ranked members of its
 that fit it, the best. Links found make components. Groups with the same largest component then become
 one, so that a pair which shares many keys is met once. Members of that component need no
 comparison with each other; each other member is compared with those members of the joint
-group that are in another component and fit. So no link between two components is missed,
-and within a component found by pivots no further pair is made.
+group that are in another component and fit: first one pair for every two components,
+then the pairs whose components are still apart. So no link between two components is
+missed, and few pairs are compared within one.
 """
 
 from __future__ import annotations
@@ -77,9 +78,21 @@ def linked_groups(
         .filter(F.col("root1") != F.col("root2"))
         .filter((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2")))
         .filter(fits("1", "2") if agree is None else fits("1", "2") & agree("1", "2"))
-        .select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+        .select(
+            F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"),
+            F.least("root1", "root2").alias("root_a"), F.greatest("root1", "root2").alias("root_b"),
+        )
         .distinct()
     )
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     again = stored(spark, again.join(tried, ["a", "b"], "left_anti"), "further-pairs")
-    return connected(spark, links.select("a", "b").union(compare(again).select("a", "b")))
+
+    one = again.groupBy("root_a", "root_b").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*")
+    one = stored(spark, one, "component-pairs")
+    links = stored(spark, links.select("a", "b").union(compare(one).select("a", "b")), "second-links")
+    roots = connected(spark, links)
+    left = spread_join(again.select("a", "b"), roots.toDF("a", "root_a"), "a", "left")
+    left = spread_join(left, roots.toDF("b", "root_b"), "b", "left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    left = stored(spark, left.filter(apart).select("a", "b").join(one, ["a", "b"], "left_anti"), "last-pairs")
+    return connected(spark, links.union(compare(left).select("a", "b")))
