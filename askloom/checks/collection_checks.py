@@ -9,7 +9,7 @@ from askloom.checks.text_checks import LINES_SQL
 from askloom.checks.vector_checks import WIDTH, points
 from askloom.plans import scratch
 from askloom.sources import collections
-from askloom.sources.documents import chunk
+from askloom.sources.documents import chunk, read_documents
 
 POINTS_SQL = f"""
 SELECT ('0x' || substr(md5(c.doc_id || '/' || c.chunk_index), 1, 15))::BIGINT AS id, c.text, d.source, c.chunk_index,
@@ -100,6 +100,37 @@ def upsert_points(spark, sf_dir):
     )
 
 
+@check(
+    """
+SELECT vec_id * 2 AS id, 'b' AS origin, embedding[1]::DOUBLE AS first_value FROM embeddings
+UNION ALL SELECT vec_id, 'old', embedding[1]::DOUBLE FROM embeddings
+WHERE vec_id NOT IN (SELECT vec_id * 2 FROM embeddings)
+"""
+)
+def upsert_repeats(spark, sf_dir):
+    """New points that come twice without a version: of equal ids the last content stays."""
+    old = points(spark, sf_dir).withColumn("origin", F.lit("old"))
+    new = points(spark, sf_dir).withColumn("id", F.col("id") * 2)
+    twice = new.withColumn("origin", F.lit("a")).unionByName(new.withColumn("origin", F.lit("b")))
+    merged = collections.upsert(old.select("id", "origin", "vector"), twice.select("id", "origin", "vector"))
+    return merged.select("id", "origin", F.get("vector", F.lit(0)).cast("double").alias("first_value"))
+
+
+@check(
+    """
+SELECT source, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY source
+"""
+)
+def read_files(spark, sf_dir):
+    """Documents written as one text file per source, with equal file names, and read back."""
+    path = scratch.new_path(spark, "files")
+    texts = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    ordered = texts.repartition(2, "source").sortWithinPartitions("source", "doc_id")
+    ordered.select("source", "text").write.partitionBy("source").text(path)
+    read = read_documents(spark, f"{path}/*")
+    return read.select(F.regexp_extract("doc_id", "/source=([^/]*)/", 1).alias("source"), "text")
+
+
 @check(
     """
 SELECT vec_id AS id, (CASE WHEN label = 0 THEN 63 ELSE 64 END)::BIGINT AS width, label <> 0 AS accepted

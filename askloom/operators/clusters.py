@@ -1,24 +1,28 @@
 """Approximate search over a collection laid out by cluster.
 
 Points are written in one partition per cluster of their directions. A search first finds
-the clusters nearest to its queries and then runs the exact search on those partitions
-only, so a small set of queries reads a small part of a large collection. Hits in clusters
-that no query probes are missed; with every cluster probed the result is exact.
+the clusters nearest to each query and then runs the exact search on those partitions only,
+each with the queries that probe it. Hits in clusters that a query doesn't probe are missed;
+with every cluster probed the result is exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from askloom import fixed
 from askloom.functions.vectors import has_width
 from askloom.operators import search
-
-PROBES = 8
-
+from askloom.operators.block_scores import matrix
+from askloom.plans import scratch
 
 def fit_clusters(points: DataFrame, k: int, *, width: int, seed: int = 0) -> PipelineModel:
     """K-means over unit vectors. The driver holds ``k`` centers, never points.
@@ -38,17 +42,38 @@ def _with_raw(points: DataFrame) -> DataFrame:
     return points.withColumn("__raw", array_to_vector("vector"))
 
 
-def write_clustered(model: PipelineModel, points: DataFrame, path: str, *, width: int) -> None:
-    """Write ``id, vector`` points partitioned by cluster.
+def assigned(points: DataFrame, middles: DataFrame, *, width: int) -> DataFrame:
+    """Add ``cluster``: the id of the middle with the greatest cosine, the lower of equals.
+
+    Vectors of another width, which no search matches, get cluster -1. ``middles`` is the
+    table ``id, vector`` of all centers, which every task holds.
+    """
+    table = middles.orderBy("id").toArrow()
+    ids = np.array(table.column("id").to_pylist(), np.int64)
+    rows = np.array(table.column("vector").to_pylist(), np.float64).reshape(len(ids), width)
+    rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    fields = T.StructType([*points.schema.fields, T.StructField("cluster", T.LongType())])
+    at = points.columns.index("vector")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, usable = matrix(batch.column(at), width)
+            cluster = np.full(batch.num_rows, -1, np.int64)
+            if len(usable):
+                cluster[usable] = ids[np.argmax(found @ rows.T, axis=1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster)], fields.names)
+
+    return points.mapInArrow(placed, fields)
+
+
+def write_clustered(points: DataFrame, middles: DataFrame, path: str, *, width: int) -> None:
+    """Write ``id, vector`` points partitioned by the cluster of their nearest middle.
 
     Rows are spread by ranges of cluster and id, so a cluster with most of the points is
-    written by many tasks into many files. Vectors of another width, which no search
-    matches, are kept as cluster -1.
+    written by many tasks into many files.
     """
-    ok = has_width("vector", width)
-    placed = model.transform(_with_raw(points.filter(ok))).drop("__raw", "__unit")
-    other = points.filter(~ok).withColumn("cluster", F.lit(-1))
-    placed.unionByName(other).repartitionByRange("cluster", "id").write.partitionBy("cluster").parquet(path)
+    placed = assigned(points, middles, width=width)
+    placed.repartitionByRange("cluster", "id").write.partitionBy("cluster").parquet(path)
 
 
 def centers(model: PipelineModel, points: DataFrame) -> DataFrame:
@@ -63,17 +88,31 @@ def probe_top_k(
     middles: DataFrame,
     *,
     width: int,
-    probes: int = PROBES,
+    probes: int,
+    limit: int = fixed.TOP_K,
     **options,
 ) -> DataFrame:
-    """``search.top_k`` on the clusters that are among the ``probes`` nearest of any query.
+    """``search.top_k`` of every query on the ``probes`` clusters nearest to it.
 
-    ``points`` is the table written by ``write_clustered``, ``middles`` its centers. The
-    cluster numbers, at most one per center, prune the partitions before the scan.
+    ``points`` is the table written by ``write_clustered``, ``middles`` its centers. One
+    search for each cluster that is probed at all, at most as many as there are centers,
+    takes the queries that probe it and reads its partition alone; then each query's hits
+    are ranked. Hits in clusters a query doesn't probe are missed: the caller chooses
+    ``probes`` and should measure the recall against ``search.top_k``.
     """
-    nearest = search.top_k(
-        queries.select("query_id", "vector"), middles, width=width, limit=probes, min_score=-1.0
-    )
-    wanted = [r["id"] for r in nearest.select("id").distinct().collect()]
-    probed = points.filter(F.col("cluster").isin(wanted))
-    return search.top_k(queries, probed, width=width, **options)
+    spark = queries.sparkSession
+    own = F.col("limit") if "limit" in queries.columns else F.lit(None)
+    asked = queries.select("query_id", "vector", F.coalesce(own, F.lit(limit)).cast("int").alias("limit"))
+    nearest = search.top_k(asked.select("query_id", "vector"), middles, width=width, limit=probes, min_score=-1.0)
+    path = scratch.new_path(spark, "probes")
+    asked.join(nearest.select("query_id", F.col("id").alias("probe")), "query_id").write.partitionBy("probe").parquet(path)
+    probing = spark.read.parquet(path)
+    hits = None
+    for row in probing.select("probe").distinct().collect():
+        mine = probing.filter(F.col("probe") == row["probe"]).drop("probe")
+        found = search.top_k(mine, points.filter(F.col("cluster") == row["probe"]), width=width, **options)
+        hits = found if hits is None else hits.union(found)
+    if hits is None:
+        return search.top_k(asked, points.limit(0), width=width, **options)
+    most = asked.agg(F.max("limit")).first()[0]
+    return search.rank_hits(hits.drop("rank").join(asked.select("query_id", "limit"), "query_id"), most)

@@ -164,7 +164,7 @@ def clustered(spark, tmp_path_factory):
     points = spark.createDataFrame(rows_, POINTS)
     path = str(tmp_path_factory.mktemp("index") / "v1")
     model = clusters.fit_clusters(points, 12, width=WIDTH, seed=3)
-    clusters.write_clustered(model, points, path, width=WIDTH)
+    clusters.write_clustered(points, clusters.centers(model, points), path, width=WIDTH)
     queries = spark.createDataFrame(
         [(f"q{i}", middles[i].tolist(), None) for i in range(12)], QUERIES
     )
