@@ -3,7 +3,8 @@
 Every round each vertex takes the least label among its neighbours, tells it to the label
 it had, and follows; so trees of labels merge and flatten together and the rounds grow
 with the logarithm of the longest path. Minima are combined before they are shuffled and
-joins on labels, of which one may be held by most vertices, are split (``spread_join``).
+joins on labels, of which one may be held by most vertices, have stored tables on both
+sides, so that Spark can split hot partitions.
 Each round is written to the shared folder; nothing but a count reaches the driver.
 """
 
@@ -12,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from askloom.llm.stored import stored
-from askloom.plans.skew import spread_join
 
 
 def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -38,6 +38,7 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
         if not heard.filter(F.col("near") < F.col("root")).limit(1).count():
             return labels
         told = heard.groupBy(F.col("root").alias("old")).agg(F.min("near").alias("told"))
-        followed = spread_join(heard.withColumnRenamed("root", "old"), told, "old")
-        step = followed.select("id", F.least("near", "told").alias("root"))
+        told = stored(spark, told.filter(F.col("told") < F.col("old")), "told")
+        followed = heard.withColumnRenamed("root", "old").join(told, "old", "left")
+        step = followed.select("id", F.least("near", F.coalesce("told", "near")).alias("root"))
         labels = stored(spark, step, "labels")

@@ -137,7 +137,7 @@ def _meet(x: np.ndarray, y: np.ndarray) -> bool:
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar enough."""
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    both = spread_join(spread_join(pairs, x, "a"), y, "b").select("a", "b", "x", "y")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return both.mapInArrow(lambda b: link_batches(b, percent), "a long, b long")
 
 

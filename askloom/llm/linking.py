@@ -1,12 +1,15 @@
 """Components of things that share keys and pass a comparison, without all pairs of a group.
 
 Every member is first compared with one pivot: of the best-ranked members of its groups
-that fit it, the best. Links found make components. Groups with the same largest component then become
-one, so that a pair which shares many keys is met once. Members of that component need no
-comparison with each other; each other member is compared with those members of the joint
-group that are in another component and fit: first one pair for every two components,
-then the pairs whose components are still apart. So no link between two components is
-missed, and few pairs are compared within one.
+that fit it, the best. Links found make components. Groups with the same largest component
+then become one, so that a pair which shares many keys is met once. Members of that
+component need no comparison with each other; each other member is compared with those
+members of the joint group that are in another component and fit: first one pair for every
+two components, then the pairs whose components are still apart. So no link between two
+components is missed, and few pairs are compared within one.
+
+Long tables are joined to stored tables with a row per key, so that Spark can split the
+partitions of hot keys (adaptive skew join).
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from askloom.llm.components import connected
 from askloom.llm.stored import stored
-from askloom.plans.skew import spread_join
 
 
 def linked_groups(
@@ -41,7 +43,7 @@ def linked_groups(
         F.min(F.struct("rank", "id", *facts)).alias("pivot"), F.min("id").alias("lo"), F.max("id").alias("hi")
     )
     pivots = stored(spark, pivots.filter("lo < hi").select("key", "pivot"), "pivots")
-    met = spread_join(members.drop("rank"), pivots, "key").filter("id != pivot.id")
+    met = members.drop("rank").join(pivots, "key").filter("id != pivot.id")
     met = met.select(
         F.struct("pivot.rank", "pivot.id").alias("pivot"),
         "id",
@@ -54,7 +56,7 @@ def linked_groups(
     links = stored(spark, compare(first), "first-links")
     roots = connected(spark, links)
 
-    placed = spread_join(members, roots, "id", "left")
+    placed = members.join(roots, "id", "left")
     placed = stored(spark, placed.withColumn("root", F.coalesce("root", "id")), "placed")
     main = (
         placed.groupBy("key", "root")
@@ -63,9 +65,9 @@ def linked_groups(
         .agg(F.max(F.struct("members", "root")).getField("root").alias("main"), F.count("*").alias("roots"))
     )
     main = stored(spark, main.filter("roots > 1").drop("roots"), "main-roots")
-    open_ = spread_join(placed.drop("rank"), main, "key").drop("key").distinct()
+    open_ = placed.drop("rank").join(main, "key").drop("key").distinct()
     if profiles is not None:
-        open_ = spread_join(stored(spark, open_, "open-ids"), profiles, "id")
+        open_ = stored(spark, open_, "open-ids").join(profiles, "id")
     open_ = stored(spark, open_, "open-members")
     apart = stored(spark, open_.filter(F.col("root") != F.col("main")), "apart-members")
 
@@ -91,8 +93,8 @@ def linked_groups(
     one = stored(spark, one, "component-pairs")
     links = stored(spark, links.select("a", "b").union(compare(one).select("a", "b")), "second-links")
     roots = connected(spark, links)
-    left = spread_join(again.select("a", "b"), roots.toDF("a", "root_a"), "a", "left")
-    left = spread_join(left, roots.toDF("b", "root_b"), "b", "left")
+    left = again.select("a", "b").join(roots.toDF("a", "root_a"), "a", "left")
+    left = left.join(roots.toDF("b", "root_b"), "b", "left")
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     left = stored(spark, left.filter(apart).select("a", "b").join(one, ["a", "b"], "left_anti"), "last-pairs")
     return connected(spark, links.union(compare(left).select("a", "b")))
