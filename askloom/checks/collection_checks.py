@@ -18,6 +18,13 @@ FROM ({LINES_SQL}) c JOIN documents d ON d.doc_id = c.doc_id
 JOIN embeddings e ON e.vec_id = c.doc_id
 """
 
+REJECTS_SQL = f"""
+SELECT ('0x' || substr(md5(c.doc_id || '/' || c.chunk_index), 1, 15))::BIGINT AS id, c.text, d.source, c.chunk_index,
+       NULL::DOUBLE AS norm
+FROM ({LINES_SQL}) c JOIN documents d ON d.doc_id = c.doc_id
+WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = c.doc_id)
+"""
+
 
 def chunk_id():
     """An id from both key columns: sixty bits of a hash of their text."""
@@ -54,17 +61,36 @@ def _flat(nested):
 def points_build(spark, sf_dir):
     """Chunks meet vectors by ``(doc_id, chunk_index)`` and become nested points.
 
-    Every chunk of a document carries the vector of the document.
+    Every chunk of a document carries the vector of the document; chunks of documents
+    without one are in ``points_rejected``.
     """
-    return _flat(_points(spark, sf_dir))
+    accepted, _ = collections.split_by_width(_points(spark, sf_dir), WIDTH)
+    return _flat(accepted)
+
+
+@check(REJECTS_SQL)
+def points_rejected(spark, sf_dir):
+    """The chunks that ``points_build`` leaves, with a NULL norm."""
+    _, rejected = collections.split_by_width(_points(spark, sf_dir), WIDTH)
+    return _flat(rejected)
+
+
+def _written(spark, sf_dir):
+    path, rejects = scratch.new_path(spark, "collection"), scratch.new_path(spark, "rejects")
+    collections.create_collection(_points(spark, sf_dir), path, WIDTH, rejects=rejects)
+    return path, rejects
 
 
 @check(POINTS_SQL)
 def collection_written(spark, sf_dir):
     """The same points written as a collection and read back."""
-    path = scratch.new_path(spark, "collection")
-    collections.create_collection(_points(spark, sf_dir), path, WIDTH)
-    return _flat(spark.read.parquet(path))
+    return _flat(spark.read.parquet(_written(spark, sf_dir)[0]))
+
+
+@check(REJECTS_SQL)
+def collection_rejects(spark, sf_dir):
+    """What the same write puts on the rejects path, read back."""
+    return _flat(spark.read.parquet(_written(spark, sf_dir)[1]))
 
 
 @check("SELECT count(*) AS n_points FROM embeddings")

@@ -174,3 +174,20 @@ def test_repeated_searches_are_run_once_per_query(spark):
         (4, "none"),
     ]
     assert embedded == [2]
+
+
+def test_collection_queries_with_documents_without_vectors(spark, tmp_path):
+    from askloom.checks import CHECKS
+
+    spark.createDataFrame(
+        [(1, "a\nb", "s"), (2, "c", "s")], "doc_id long, text string, source string"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [0.5] * 64)], "vec_id long, embedding array<float>").write.parquet(
+        f"{tmp_path}/embeddings.parquet"
+    )
+
+    def texts(name):
+        return sorted((r.text, r.norm) for r in CHECKS[name].run(spark, str(tmp_path)).collect())
+
+    assert texts("points_build") == texts("collection_written") == [("a", 4.0), ("b", 4.0)]
+    assert texts("points_rejected") == texts("collection_rejects") == [("c", None)]
