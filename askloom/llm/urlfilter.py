@@ -93,13 +93,40 @@ def address(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, asked))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` segments resolved."""
+    ended = F.concat(path, F.when(path.rlike(r"/\.\.?\z"), "/").otherwise(""))
+    steps = F.filter(F.split(ended, "/", -1), lambda x, i: (i > 0) & (x != "."))
+    left = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda seen, x: F.when(x == "..", F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(
+            F.concat(seen, F.array(x))
+        ),
+    )
+    return F.concat(F.lit("/"), F.array_join(left, "/"))
+
+
 def absolute(link: Column, url: Column) -> Column:
-    """A link as a url; relative paths other than from the root are left out."""
+    """A link as a url, a relative one resolved against the page's; null if it is no web address.
+
+    Only links that begin with a scheme are whole: a ``://`` later on is part of a query.
+    ``base`` tags are not read.
+    """
     scheme = F.regexp_extract(url, r"\A([^:/?#]+)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(url))
+    path, tail = F.regexp_extract(link, r"\A[^?#]*", 0), F.regexp_extract(link, r"\A[^?#]*([\s\S]*)", 1)
+    own = F.concat(F.when(path_of(url).startswith("/"), "").otherwise("/"), path_of(url))
+    folder = F.regexp_extract(own, r"\A[\s\S]*/", 0)
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link))
+        .when(host_of(url) == "", F.lit(None))
+        .when(link.startswith("#"), url)
+        .when(link.startswith("?"), F.concat(root, own, link))
+        .when(link.startswith("/"), F.concat(root, without_dots(path), tail))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, path)), tail))
     )
 
 
@@ -111,8 +138,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: tuple[Rule, ...] =
     equal urls alike; an empty table gives no rows; other columns are ignored.
     """
     url, html = F.col("url"), F.col("html")
-    links = F.array_compact(
-        F.array(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (CANONICAL, REFRESH)))
+    links = F.array_distinct(
+        F.concat(*(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(p), 1) for p in (CANONICAL, REFRESH)))
     )
     seen = pages.select(F.col("page_id"), url.cast("string").alias("url"), html.cast("string").alias("html"))
     judged = (

@@ -145,3 +145,20 @@ def test_personal_data(spark):
 def test_plan_of_personal_data_is_native(spark):
     plan = personal.find_personal(spark, plain.documents(spark, {1: "a@b.cc"}))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_relative_and_second_links(spark):
+    second = link("http://fine.com/") + link("http://bad.net/1")
+    twice = link("http://fine.com/x", "refresh") + link("http://bad.net/2", "refresh")
+    pages = [
+        (1, "http://a.com/1", second), (2, "http://b.com/1", twice),
+        (3, "http://c.com/en/a.html", link("b.html", "refresh")), (4, "http://c.com/en/b.html", link("http://bad.net/3")),
+        (5, "http://example.com/en/x/y", link("../../de/x")), (6, "http://example.com/en/z", link("./../de/.")),
+        (7, "http://f.com/p?p=1", link("?p=2")), (8, "http://f.com/p?p=2", link("http://bad.net/4")),
+        (9, "http://g.com", link("q")), (10, "http://g.com/q", link("http://bad.net/5")),
+        (11, "http://h.com/1", link("/go?u=http://bad.net/6")), (12, "http://i.com/1", link("mailto:x@bad.net")),
+        (13, "http://example.com/en/d/e", link("../../../fr/../de/k?x=../..")), (14, "http://j.com/1", link("#part")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urlfilter.filter_urls(spark, df).collect()}
+    assert got == {i: "allow" if i in (11, 12, 14) else "block" for i in range(1, 15)}
