@@ -21,7 +21,7 @@ from askloom.llm.workers import kept
 
 MIN_CHARS = 20
 MAX_CHARS_PER_TOKEN = 2.2
-MAX_ENCODED_CHARS = 4096  # pieces of a longer string are judged by themselves
+MAX_ENCODED_CHARS = 4096  # a longer string is encoded in pieces and judged as a whole
 
 # The patterns, their order and their least lengths.
 KINDS = ("assign", "access", "hex", "random")
@@ -57,14 +57,14 @@ class Scanner:
         self.known = re.compile(f"(?:{DIGEST}|{UUID}|{IDENTIFIER})")
 
     def chars_per_token(self, string: str) -> float:
-        return len(string) / len(self.encoding.encode_ordinary(string))
+        parts = (string[i : i + MAX_ENCODED_CHARS] for i in range(0, len(string), MAX_ENCODED_CHARS))
+        return len(string) / sum(len(self.encoding.encode_ordinary(part)) for part in parts)
 
     def is_random(self, string: str) -> bool:
         classes = (str.isdigit, str.isalpha)
         if not all(any(map(c, string)) for c in classes) or self.known.fullmatch(string):
             return False
-        parts = (string[i : i + MAX_ENCODED_CHARS] for i in range(0, len(string), MAX_ENCODED_CHARS))
-        return min(map(self.chars_per_token, parts)) < MAX_CHARS_PER_TOKEN
+        return self.chars_per_token(string) < MAX_CHARS_PER_TOKEN
 
     def base_spans(self, text: str) -> list[tuple[int, int, int]]:
         """``(start, kind, end)`` of the fixed patterns; failing matches are consumed."""

@@ -199,3 +199,12 @@ def test_empty_tables(spark):
         decontamination.find_items(spark, plain.documents(spark, {1: "a b c d e f"}), bench),
     ):
         assert df.collect() == []
+
+
+def test_length_alone_makes_no_secret():
+    scanner = secrets.Scanner(RANKS, public_tokenizers.PATTERN)
+    most = secrets.MAX_ENCODED_CHARS
+    ordinary = "information2international" * 1000
+    mixed = "".join(plain.generator().choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789", k=3 * most))
+    for n in (30, most - 1, most, most + 1, most + 2, 2 * most + 1, 3 * most):
+        assert not scanner.is_random(ordinary[:n]) and scanner.is_random(mixed[:n]), n
