@@ -108,4 +108,12 @@ FROM ruled LEFT JOIN heard ON heard.id = ruled.address
 """
 
 
-ORACLE_SQL = {"op6_quality": QUALITY, "op10_url_filter": url_filter()}
+EXACT_DEDUP = r"""
+WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+FROM texts
+"""
+
+
+ORACLE_SQL = {"op6_quality": QUALITY, "op10_url_filter": url_filter(), "op13_exact_dedup": EXACT_DEDUP}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askloom.llm import decontamination, jaccardjoin, linededup, packing, personal, quality, secrets, sharding, tokencounts, urlfilter
+from askloom.llm import decontamination, exactdedup, jaccardjoin, linededup, packing, personal, quality, secrets, sharding, tokencounts, urlfilter
 from askloom.llm.oracles import ORACLE_SQL  # noqa: F401  (read by the entry point)
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(spark, table(spark, sf_dir, "pages"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.find_copies(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -78,4 +82,5 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
+    "op13_exact_dedup": op13_exact_dedup,
 }
