@@ -108,6 +108,69 @@ FROM ruled LEFT JOIN heard ON heard.id = ruled.address
 """
 
 
+def _forest(name: str, leaves: str) -> str:
+    """Nodes ``grp, level, idx, h, n`` over leaves ``grp, idx, h``, ``n`` in the level."""
+    return f"""
+{name} AS (
+  SELECT grp, 0 AS level, idx, h, count(*) OVER (PARTITION BY grp) AS n FROM {leaves}
+  UNION ALL
+  SELECT grp, level + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (n + 15) // 16
+  FROM {name} WHERE n > 1 GROUP BY grp, level, idx // 16, n)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || ({value}::VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    fields = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text)))
+    return f"sha256({fields})"
+
+
+def _steps(nodes: str, of: str, level: int) -> str:
+    """Per document and level of ``nodes`` what stands before and after its node in the run."""
+    return f"""
+  SELECT d.key, {level} + own.level AS level,
+         coalesce(string_agg(near.h, '' ORDER BY near.idx) FILTER (near.idx < own.idx), '') AS before,
+         coalesce(string_agg(near.h, '' ORDER BY near.idx) FILTER (near.idx > own.idx), '') AS after
+  FROM {of} d JOIN {nodes} own ON own.grp = d.grp AND own.n > 1 AND own.idx = d.idx // (16 ** own.level)::BIGINT
+  JOIN {nodes} near ON near.grp = own.grp AND near.level = own.level AND near.idx // 16 = own.idx // 16
+  GROUP BY d.key, own.level, own.idx"""
+
+
+_BITS = "list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)"
+_CODES = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)"
+
+MERKLE = f"""
+WITH RECURSIVE codes AS (SELECT list_transform(range(256), lambda b: {_BITS}) AS codes),
+rows AS (
+  SELECT documents.*, row_number() OVER () AS key,
+         xor(4294967295, list_reduce({_CODES}, lambda c, b: xor(c // 256, codes[xor(c % 256, b) + 1]), 4294967295)) AS crc
+  FROM documents, codes),
+docs AS (
+  SELECT key, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp, {_leaf("text")} AS h,
+         CASE WHEN crc % 5 = 0 THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS tampered, source FROM rows),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS idx FROM docs),
+{_forest("trees", "leaves")},
+subroots AS (SELECT 0 AS grp, grp AS idx, h FROM trees WHERE n = 1),
+{_forest("top", "subroots")},
+in_top AS (SELECT l.key, 0 AS grp, l.grp AS idx FROM leaves l),
+steps AS ({_steps("trees", "leaves", 0)}
+  UNION ALL {_steps("top", "in_top", 100)}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY level) AS no FROM steps),
+folds AS (
+  SELECT key, 0 AS no, coalesce(tampered, h) AS h FROM leaves
+  UNION ALL
+  SELECT f.key, f.no + 1, sha256(s.before || f.h || s.after) FROM folds f JOIN numbered s ON s.key = f.key AND s.no = f.no + 1),
+proofs AS (SELECT key, string_agg(before || after, '' ORDER BY no) AS proof, max(no) AS steps FROM numbered GROUP BY key),
+root AS (SELECT h FROM top WHERE n = 1)
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, root.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+       f.h AS folded_root, f.h = root.h AS verified
+FROM leaves l JOIN subroots s ON s.idx = l.grp CROSS JOIN root LEFT JOIN proofs p ON p.key = l.key
+JOIN folds f ON f.key = l.key AND f.no = coalesce(p.steps, 0)
+"""
+
 EXACT_DEDUP = r"""
 WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -116,4 +179,4 @@ FROM texts
 """
 
 
-ORACLE_SQL = {"op6_quality": QUALITY, "op10_url_filter": url_filter(), "op13_exact_dedup": EXACT_DEDUP}
+ORACLE_SQL = {"op6_quality": QUALITY, "op10_url_filter": url_filter(), "op11_merkle_manifest": MERKLE, "op13_exact_dedup": EXACT_DEDUP}

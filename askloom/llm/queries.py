@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askloom.llm import decontamination, exactdedup, jaccardjoin, linededup, packing, personal, quality, secrets, sharding, tokencounts, urlfilter
+from askloom.llm import decontamination, exactdedup, jaccardjoin, linededup, merkle, packing, personal, quality, secrets, sharding, tokencounts, urlfilter, whitening
 from askloom.llm.oracles import ORACLE_SQL  # noqa: F401  (read by the entry point)
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -67,6 +67,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.find_copies(spark, table(spark, sf_dir, "documents"))
 
@@ -82,5 +90,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
