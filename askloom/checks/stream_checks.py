@@ -13,7 +13,7 @@ from askloom.plans import scratch
 from askloom.plans.ordered import number_rows
 from askloom.plans.skew import spread_join
 from askloom.sources.replies import stream_lines
-from askloom.streaming import jobs
+from askloom.streaming import emitted, jobs
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,54 @@ def stream_replies_late(spark, sf_dir):
     return replies.reassemble(replies.once_each(spark.read.parquet(out)))
 
 
+TIMED = "response_id string, seq long, line string, at timestamp"
+
+
+def _arriving(spark, steps, emit):
+    """Run ``emit`` on a folder of timed lines after each of ``steps`` has been added."""
+    path = scratch.new_path(spark, "lines")
+    for step in steps:
+        step.write.mode("append").json(path)
+        emit(spark.readStream.schema(TIMED).json(path)).awaitTermination()
+
+
+def _timed(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("at", F.timestamp_seconds(F.col("seq")))
+
+
+@check(reply_checks.TEXT_SQL)
+def stream_replies_emitted(spark, sf_dir):
+    """Every reply once, at its stop marker: later parts come first, a third of the lines twice."""
+    out, progress = _paths(spark, "replies")
+    lines = _timed(reply_checks.sse_lines(spark, sf_dir))
+    steps = (lines.filter("seq >= 5"), lines.filter("seq < 5 OR seq % 3 = 0"), lines.filter("seq % 4 = 0"))
+
+    def emit(arriving):
+        tokens = replies.sse_tokens(arriving)
+        return emitted.emit_replies(tokens, out, progress, late="1 day", silence="2 days", remember="9 days")
+
+    _arriving(spark, steps, emit)
+    return spark.read.parquet(out).select("response_id", "content")
+
+
+@check(reply_checks.TEXT_SQL)
+def stream_replies_silent(spark, sf_dir):
+    """Replies without stop markers, emitted when a much later line shows that they ended."""
+    out, progress = _paths(spark, "replies")
+    lines = _timed(reply_checks.ndjson_lines(spark, sf_dir))
+    last = lines.agg(F.max("at").alias("at")).select(
+        F.lit("later").alias("response_id"), F.lit(0).cast("long").alias("seq"), F.lit("{}").alias("line"),
+        (F.col("at") + F.expr("INTERVAL 30 days")).alias("at"),
+    )
+
+    def emit(arriving):
+        tokens = replies.ndjson_tokens(arriving)
+        return emitted.emit_replies(tokens, out, progress, late="1 day", silence="2 days", remember="90 days")
+
+    _arriving(spark, (lines.filter("seq % 2 = 1"), lines.filter("seq % 2 = 0"), last), emit)
+    return spark.read.parquet(out).select("response_id", "content")
+
+
 @check(session_checks.MEMORY_SQL + "SELECT session_id, position, role, content FROM memory")
 def stream_sessions(spark, sf_dir):
     """Positions are counted on reading only, for the comparison with the batch form."""

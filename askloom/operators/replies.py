@@ -16,9 +16,14 @@ def ndjson_tokens(lines: DataFrame) -> DataFrame:
     """Tokens of ``{"response": ...}`` lines as ``response_id, seq, token, done``.
 
     A missing key is an empty token; a line that is not a JSON object has a NULL token.
+    Further columns, such as a time, stay.
     """
     token = jsontext.mapped("line", lambda: _response_text)
-    return lines.select("response_id", "seq", token.alias("token"), F.lit(False).alias("done"))
+    return lines.select("response_id", "seq", *_others(lines), token.alias("token"), F.lit(False).alias("done"))
+
+
+def _others(lines: DataFrame) -> list[str]:
+    return [c for c in lines.columns if c not in ("response_id", "seq", "line")]
 
 
 def _response_text(value) -> str:
@@ -32,7 +37,8 @@ def _delta_text(value) -> str:
 def sse_tokens(lines: DataFrame) -> DataFrame:
     """Tokens of ``data: {...}`` lines, with ``done`` on the stop marker.
 
-    Other lines and chunks without a first choice or a delta have a NULL token.
+    Other lines and chunks without a first choice or a delta have a NULL token. Further
+    columns, such as a time, stay.
     """
     prefix = fixed.SSE_PREFIX
     chunk = F.when(
@@ -40,11 +46,12 @@ def sse_tokens(lines: DataFrame) -> DataFrame:
     )
     done = F.coalesce(strip("chunk") == fixed.SSE_DONE, F.lit(False))
     return (
-        lines.select("response_id", "seq", chunk.alias("chunk"))
+        lines.select("response_id", "seq", *_others(lines), chunk.alias("chunk"))
         .withColumn("done", done)
         .select(
             "response_id",
             "seq",
+            *_others(lines),
             jsontext.mapped(F.when(~F.col("done"), F.col("chunk")), lambda: _delta_text).alias("token"),
             "done",
         )
