@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from askloom.llm import textkernel
-from askloom.llm.wordtokens import word_ids
+from askloom.llm.wordtokens import words_of
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -150,8 +150,7 @@ class Packer:
 def pack_batches(
     batches: Iterator[pa.RecordBatch], vocabulary: str, tiers: tuple[int, ...], group_tokens: int
 ) -> Iterator[pa.RecordBatch]:
-    ids_of = word_ids(vocabulary)
-    end = END_ID.to_bytes(4, "little")
+    words = words_of(vocabulary)
     packer = Packer(tiers)
     base = TaskContext.get().partitionId() << 32
     counts: dict[int, int] = defaultdict(int)
@@ -175,8 +174,8 @@ def pack_batches(
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
         for run in textkernel.runs(batch.column(1)):
-            for i in range(len(run)):
-                packer.add(doc_ids[run.first + i], ids_of.ids(run.text(i)) + end)
+            for i, ids in enumerate(words.row_ids(run, END_ID)):
+                packer.add(doc_ids[run.first + i], ids)
                 if packer.waiting >= BUFFER_TOKENS:
                     packer.pack()
                     yield rows()
