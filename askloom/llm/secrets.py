@@ -34,8 +34,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS
 # Known digests: hexadecimal strings of the usual lengths, and UUIDs.
 DIGEST = r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"
 UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-# Identifiers: words and numbers joined by separators or capitals, such as names, paths, slugs.
-IDENTIFIER = r"[+/_=-]*(?:(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]{1,4})(?:[+/_=-]+|(?=[A-Z0-9])|$))+"
+PART = r"[A-Z]+|[a-z]+|[0-9]+|[+/_=-]+"
+WORD_CHARS = 3  # letters of a word in an identifier, at least
 
 SCHEMA = (
     "doc_id long, n_assign long, n_access long, n_hex long, n_random long, "
@@ -54,16 +54,36 @@ class Scanner:
         )
         self.assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
         self.access, self.hex, self.candidate = map(re.compile, (ACCESS, HEX, CANDIDATE))
-        self.known = re.compile(f"(?:{DIGEST}|{UUID}|{IDENTIFIER})")
+        self.known = re.compile(f"(?:{DIGEST}|{UUID})")
+        self.part = re.compile(PART)
 
     def chars_per_token(self, string: str) -> float:
         parts = (string[i : i + MAX_ENCODED_CHARS] for i in range(0, len(string), MAX_ENCODED_CHARS))
         return len(string) / sum(len(self.encoding.encode_ordinary(part)) for part in parts)
 
+    def is_identifier(self, string: str) -> bool:
+        """Words and numbers joined by separators or capitals, such as names, paths, slugs.
+
+        A word is small letters, perhaps with a capital before them, or capitals alone; none
+        follows a digit directly. One look at every run of equal kind decides.
+        """
+        before, capitals, words = "", 0, False  # capitals wait for what follows them
+        for m in self.part.finditer(string):
+            kind, n = _kind(m[0][0]), len(m[0])
+            if kind == "a":
+                if n < WORD_CHARS or before == "0" or 0 < capitals - 1 < WORD_CHARS:
+                    return False
+            elif 0 < capitals < WORD_CHARS:
+                return False
+            before, capitals, words = kind, n if kind == "A" else 0, words or kind != "-"
+        return words and not 0 < capitals < WORD_CHARS
+
     def is_random(self, string: str) -> bool:
         classes = (str.isdigit, str.isalpha)
         if not all(any(map(c, string)) for c in classes) or self.known.fullmatch(string):
             return False
+        if self.is_identifier(string):
+            return False
         return self.chars_per_token(string) < MAX_CHARS_PER_TOKEN
 
     def base_spans(self, text: str) -> list[tuple[int, int, int]]:
@@ -82,9 +102,19 @@ class Scanner:
         return sorted(found)
 
     def random_spans(self, text: str, base: list) -> list[tuple[int, int, int]]:
-        spans = [m.span() for m in self.candidate.finditer(text)]
-        spans = [(a, b) for a, b in spans if not any(s < b and a < e for s, _, e in base)]
-        return [(a, 3, b) for a, b in spans if self.is_random(text[a:b])]
+        """Spans of candidates that meet no base span; both lists are walked once."""
+        found, at, end = [], 0, 0  # end: of the base spans that begin before the candidate does
+        for m in self.candidate.finditer(text):
+            a, b = m.span()
+            while at < len(base) and base[at][0] <= a:
+                end, at = max(end, base[at][2]), at + 1
+            if end <= a and not (at < len(base) and base[at][0] < b) and self.is_random(m[0]):
+                found.append((a, 3, b))
+        return found
+
+
+def _kind(c: str) -> str:
+    return "A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else "-"
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

@@ -1,7 +1,9 @@
 """Packing, token counts, quality rules, secrets and decontamination against plain versions."""
 
+import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from askloom.llm import decontamination, packing, quality, secrets, tokencounts
+from askloom.llm import decontamination, packing, quality, secrets, textkernel, tokencounts, wordtokens
 import plain
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -208,3 +210,82 @@ def test_length_alone_makes_no_secret():
     mixed = "".join(plain.generator().choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789", k=3 * most))
     for n in (30, most - 1, most, most + 1, most + 2, 2 * most + 1, 3 * most):
         assert not scanner.is_random(ordinary[:n]) and scanner.is_random(mixed[:n]), n
+
+
+def run_of(texts):
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    return textkernel.Run(0, np.frombuffer(b"".join(data), np.uint8), offsets)
+
+
+@pytest.mark.parametrize("memo", [1 << 20, 40])
+def test_ids_of_runs_of_rows(tokenizer, memo, monkeypatch):
+    """Odd marks, all Latin letters and short texts; a small memo is emptied again and again."""
+    monkeypatch.setattr(wordtokens, "MEMO_WORDS", memo)
+    words = wordtokens.Words(WORDS, memo)
+    assert words.cuts
+    rng = plain.generator(2)
+    alphabet = [chr(c) for c in [*range(1, 0x180), 0x2009, 0x4E2D, 0x301, 0x1F600, 0xD7, 0xF7]] + ["'s", "'LL", "<|", "|>", "<|endoftext|>", "word", "É", "12"]
+    for _ in range(60):
+        texts = ["".join(rng.choices(alphabet + [" "] * 60, k=rng.randint(0, 40))) for _ in range(rng.randint(1, 30))]
+        texts += SPECIAL + ["x" * 17, "x" * 16 + "y.", "", "a" * 300 + "!" * 40, "x" * 16 + "z."]
+        run = run_of(texts)
+        want = [ids(tokenizer, t) for t in texts]
+        assert words.row_counts(run).tolist() == [len(w) for w in want]
+        got = [np.frombuffer(x, "<u4").tolist() for x in words.row_ids(run, 1)]
+        assert got == [[*w, 1] for w in want]
+
+
+def test_pieces_that_meet_in_one_hash(monkeypatch):
+    numbers = np.array([[5, 1, 0, 1], [5, 2, 0, 1], [5, 1, 0, 1], [9, 1, 0, 1], [5, 2, 0, 1]], np.uint64)
+    chosen, number = wordtokens.distinct_of(numbers)
+    assert (numbers[chosen][number] == numbers).all() and len(chosen) == 3
+    table = wordtokens.PieceTable(4)
+    table.add(numbers[chosen], np.arange(3))
+    assert table.find(numbers).tolist() == number.tolist()
+    assert table.find(numbers + np.uint64(8)).tolist() == [-1] * 5
+
+
+def test_a_vocabulary_of_other_cuts_is_asked_for_every_word(tokenizer, monkeypatch):
+    monkeypatch.setattr(wordtokens, "PROBES", ())
+    words = wordtokens.Words(WORDS)
+    words.cuts = False
+    texts = ["it's 12 a.b.", "É", "word word"]
+    assert words.row_counts(run_of(texts)).tolist() == [len(ids(tokenizer, t)) for t in texts]
+
+
+HARD = {
+    "digits": "1" * 100_000 + "zz", "capitals": "A" * 100_000 + "b1", "zeros": base64.b64encode(bytes(100_000)).decode() + "1",
+    "classes": "aB3" * 33_000, "spans": "password=abcdefgh1 " * 100_000, "hex": ("deadbeef" * 4 + " ") * 100_000, "blanks": ("password" + " " * 50_000) * 2,
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_strings_take_no_long(name):
+    scanner = secrets.Scanner(RANKS, public_tokenizers.PATTERN)
+    start = time.process_time()
+    base = scanner.base_spans(HARD[name])
+    found = scanner.random_spans(HARD[name], base)
+    assert time.process_time() - start < 2
+    assert len(base) == {"spans": 100_000, "hex": 100_000, "digits": 1}.get(name, 0) and len(found) == (name == "classes")
+
+
+def test_identifiers_are_told_from_random_strings():
+    """Shares measured on made strings of both kinds: nearly all random ones are found, few others."""
+    scanner = secrets.Scanner(RANKS, public_tokenizers.PATTERN)
+    rng = plain.generator(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    random = ["".join(rng.choices(letters, k=rng.randint(20, 60))) for _ in range(500)]
+    random += [base64.b64encode(rng.randbytes(rng.randint(18, 48))).decode().rstrip("=") for _ in range(500)]
+    names = ["user", "account", "Total", "HTTP", "value", "number", "config", "retry", "max", "index", "data", "path"]
+    ordinary = ["_".join(rng.choices(names, k=5)) + str(rng.randrange(9999)) for _ in range(300)]
+    ordinary += ["/".join(rng.choices(names, k=4)) + f"/v{rng.randrange(9)}/release-2024" for _ in range(300)]
+    ordinary += ["".join(w.capitalize() for w in rng.choices(names, k=4)) + f"Test{i}" for i in range(300)]
+    ordinary += [hashlib.md5(str(i).encode()).hexdigest() for i in range(50)] + [f"{i:08x}-0000-4000-8000-{i:012x}" for i in range(50)]
+    caught = sum(map(scanner.is_random, random)) / len(random)
+    wrong = sum(map(scanner.is_random, ordinary)) / len(ordinary)
+    assert caught >= 0.95 and wrong <= 0.02, (caught, wrong)
+    old = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]{1,4})(?:[+/_=-]+|(?=[A-Z0-9])|$))+")
+    for _ in range(20_000):  # the rule by a pattern, which may take very long on longer strings
+        short = "".join(rng.choices("ABab12-", k=rng.randint(1, 14)))
+        assert scanner.is_identifier(short) == bool(old.fullmatch(short)), short
