@@ -61,40 +61,42 @@ calls AS (
 
 @check(
     """
-SELECT event_id, CASE WHEN event_type = 'error' THEN 'value ' || value ELSE '' END AS content,
-       CASE WHEN event_type <> 'error' THEN event_type END AS name,
-       CASE WHEN event_type = 'error' THEN NULL
+WITH calls AS (
+  SELECT *, unnest(range(CASE WHEN event_type = 'error' THEN 1 ELSE 1 + event_id % 3 END)) AS pos FROM events)
+SELECT event_id, pos::BIGINT AS pos, CASE WHEN event_type = 'error' THEN 'value ' || value ELSE '' END AS content,
+       CASE WHEN event_type = 'error' THEN NULL WHEN pos = 0 THEN event_type ELSE 'log' || pos END AS name,
+       CASE WHEN event_type = 'error' THEN NULL WHEN pos > 0 THEN '{"n":' || pos || '}'
             WHEN user_id % 2 = 0 THEN replace(props, ' ', '') ELSE props END AS args
-FROM events
+FROM calls
 """
 )
 def normalize_messages(spark, sf_dir):
-    """Raw assistant messages of both styles: arguments as an object or as a string."""
+    """Raw assistant messages of both styles, with one to three calls; all of them come out."""
     # An object comes back as compact text, a string as it was written.
-    as_object = F.concat(
-        F.lit('{"content":null,"tool_calls":[{"function":{"name":"'),
-        F.col("event_type"),
-        F.lit('","arguments":'),
-        F.col("props"),
-        F.lit("}}]}"),
-    )
-    function = F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments"))
-    as_string = F.to_json(F.struct(F.array(F.struct(function.alias("function"))).alias("tool_calls")))
+    def call(name, args, as_object):
+        shown = args if as_object else F.regexp_extract(F.to_json(F.struct(args.alias("a"))), r"^\{\"a\":(.*)\}$", 1)
+        return F.concat(F.lit('{"function":{"name":"'), name, F.lit('","arguments":'), shown, F.lit("}}"))
+
+    def raw_calls(as_object):
+        more = [
+            F.when(F.col("event_id") % 3 >= i, F.concat(F.lit(","), call(F.lit(f"log{i}"), F.lit('{"n":%d}' % i), as_object))).otherwise("")
+            for i in (1, 2)
+        ]
+        first = call(F.col("event_type"), F.col("props"), as_object)
+        return F.concat(F.lit('{"content":null,"tool_calls":['), first, *more, F.lit("]}"))
+
     reply = F.to_json(
         F.struct(F.concat(F.lit("value "), F.col("value").cast("string")).alias("content"))
     )
     raw = (
         F.when(F.col("event_type") == "error", reply)
-        .when(F.col("user_id") % 2 == 0, as_object)
-        .otherwise(as_string)
+        .when(F.col("user_id") % 2 == 0, raw_calls(True))
+        .otherwise(raw_calls(False))
     )
     messages = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
     return toolcalls.normalize_messages(messages).select(
-        "event_id",
-        "content",
-        F.get("tool_calls", F.lit(0))["name"].alias("name"),
-        F.get("tool_calls", F.lit(0))["args"].alias("args"),
-    )
+        "event_id", "content", F.posexplode_outer("tool_calls").alias("pos", "call")
+    ).select("event_id", F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), "content", "call.name", "call.args")
 
 
 @check(
@@ -243,6 +245,65 @@ def tool_validation(spark, sf_dir):
     return checked.select("event_id", "name", "reason")
 
 
+PLACE = {
+    "type": "object",
+    "properties": {"unit": {"enum": ["m", "km"]}, "at": {"type": "array", "items": {"type": ["number", "null"]}}},
+    "required": ["unit"],
+    "additionalProperties": False,
+}
+TYPED_TOOLS = fixed.TOOL_PARAMETERS | {
+    "purchase": {"type": "object", "properties": {"n": {"type": "integer"}, "place": PLACE}, "required": ["n"]},
+}
+
+
+def typed_calls(spark, sf_dir):
+    """Every event as a call of a declared tool, with arguments of right and wrong types."""
+    event, number = F.col("event_id"), F.col("value").cast("string")
+    text = F.concat(F.lit('"'), number, F.lit('"'))
+    place = F.concat(
+        F.lit('{"unit":"'), F.when(event % 5 == 0, "mile").otherwise("km"), F.lit('","at":[1,null'),
+        F.when(event % 7 == 0, ',"x"').otherwise(""), F.lit("]"), F.when(event % 11 == 0, ',"more":0').otherwise(""), F.lit("}"),
+    )
+    args = (
+        F.when(event % 13 == 0, "[1]")
+        .when(
+            F.col("event_type") == "view",
+            F.concat(F.lit('{"latitude":'), F.when(event % 3 == 0, text).otherwise(number), F.when(event % 4 == 0, "").otherwise(',"longitude":1e1'), F.lit("}")),
+        )
+        .when(F.col("event_type") == "click", F.concat(F.lit('{"query":'), F.when(event % 3 == 0, "null").otherwise(text), F.lit("}")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit('{"n":'), F.when(event % 3 == 0, "2.5").otherwise("2.0"), F.lit(',"place":'), place, F.lit("}")))
+        .otherwise("{}")
+    )
+    names = {"view": "get_weather", "click": "search_knowledge_base", "purchase": "purchase", "signup": "get_current_time"}
+    name = F.lit("none")
+    for kind, tool in names.items():
+        name = F.when(F.col("event_type") == kind, tool).otherwise(name)
+    return table(spark, sf_dir, "events").select("event_id", name.alias("name"), args.alias("args"))
+
+
+@check(
+    """
+SELECT event_id,
+       CASE WHEN event_type = 'error' THEN 'unknown tool'
+            WHEN event_id % 13 = 0 THEN 'arguments are not a JSON object'
+            WHEN event_type = 'view' THEN CASE
+              WHEN event_id % 4 = 0 THEN 'missing argument: longitude'
+              WHEN event_id % 3 = 0 THEN 'latitude: string instead of number' END
+            WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'query: null instead of string'
+            WHEN event_type = 'purchase' THEN CASE
+              WHEN event_id % 3 = 0 THEN 'n: number instead of integer'
+              WHEN event_id % 5 = 0 THEN 'place.unit: not one of "m", "km"'
+              WHEN event_id % 7 = 0 THEN 'place.at[]: string instead of number or null'
+              WHEN event_id % 11 = 0 THEN 'unknown argument: place.more' END
+       END AS reason
+FROM events
+"""
+)
+def tool_types(spark, sf_dir):
+    """The declared types of all tools, and one with nested parameters."""
+    return toolcalls.validate_typed(typed_calls(spark, sf_dir), TYPED_TOOLS).select("event_id", "reason")
+
+
 def _doubled(args: pd.Series) -> pd.Series:
     numbers = args.str.extract(r'"k":\s*(\d+)', expand=False).astype("Int64")
     return (numbers * 2).astype("string").astype(object).where(numbers.notna(), None)

@@ -73,5 +73,17 @@ TOOL_CATALOGUE = [
     ("search_knowledge_base", ["query"]),
 ]
 
+# Tool names with the types of their parameters.
+TOOL_PARAMETERS = {
+    "get_current_time": {"type": "object", "properties": {}},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+    "get_weather": {
+        "type": "object",
+        "properties": {"latitude": {"type": "number"}, "longitude": {"type": "number"}},
+        "required": ["latitude", "longitude"],
+    },
+    "search_knowledge_base": {"type": "object", "properties": {"query": {"type": "string"}}, "required": ["query"]},
+}
+
 # The characters an arithmetic expression may hold.
 EXPRESSION_CHARS = "0123456789+-*/(). "

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from askloom import fixed
 from askloom.functions.jsontext import canonical_json
+from askloom.functions.schemas import call_violation
 from askloom.functions.text import clip
 from askloom.plans import sizing
 
@@ -185,6 +186,17 @@ def validate_calls(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
     return calls.join(known, "name", "left").withColumn("reason", reason).drop("required")
 
 
+def validate_typed(calls: DataFrame, parameters: Mapping[str, Mapping] = fixed.TOOL_PARAMETERS) -> DataFrame:
+    """Add ``reason``: why a call could not have run by its tool's declared types, or NULL.
+
+    Every schema is an expression, so calls are judged where they are, without a join.
+    """
+    reason = F.lit("unknown tool")
+    for name, schema in parameters.items():
+        reason = F.when(F.col("name") == name, call_violation(F.col("args"), schema)).otherwise(reason)
+    return calls.withColumn("reason", reason)
+
+
 def dispatch(calls: DataFrame, tools: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
     """Add ``result`` by calling the function registered under each call's name.
 
