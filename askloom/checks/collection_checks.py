@@ -105,10 +105,16 @@ merged AS (
   SELECT * FROM fresh UNION ALL
   SELECT vec_id, 'old', embedding FROM embeddings
   WHERE vec_id NOT IN (SELECT id FROM fresh))
-SELECT id, origin, round(v[1]::DOUBLE, 6) AS first_value FROM merged
+SELECT id, origin, i - 1 AS place, v[i]::DOUBLE AS value FROM merged, unnest(range(1, 65)) AS u(i)
 """
 
 
+def _every_value(points):
+    placed = points.select("id", "origin", F.posexplode("vector").alias("place", "value"))
+    return placed.select("id", "origin", F.col("place").cast("long").alias("place"), F.col("value").cast("double").alias("value"))
+
+
+
 @check(UPSERT_SQL)
 def upsert_points(spark, sf_dir):
     """Half of the new ids replace old points, half are added; each comes in two versions."""
@@ -121,16 +127,16 @@ def upsert_points(spark, sf_dir):
     )
     stale = new.withColumn("origin", F.lit("stale")).withColumn("version", F.lit(1))
     merged = collections.upsert(old, stale.unionByName(new), version="version")
-    return merged.select(
-        "id", "origin", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first_value")
-    )
+    return _every_value(merged)
 
 
 @check(
     """
-SELECT vec_id * 2 AS id, 'b' AS origin, embedding[1]::DOUBLE AS first_value FROM embeddings
-UNION ALL SELECT vec_id, 'old', embedding[1]::DOUBLE FROM embeddings
-WHERE vec_id NOT IN (SELECT vec_id * 2 FROM embeddings)
+WITH merged AS (
+  SELECT vec_id * 2 AS id, 'b' AS origin, embedding AS v FROM embeddings
+  UNION ALL SELECT vec_id, 'old', embedding FROM embeddings
+  WHERE vec_id NOT IN (SELECT vec_id * 2 FROM embeddings))
+SELECT id, origin, i - 1 AS place, v[i]::DOUBLE AS value FROM merged, unnest(range(1, 65)) AS u(i)
 """
 )
 def upsert_repeats(spark, sf_dir):
@@ -139,22 +145,32 @@ def upsert_repeats(spark, sf_dir):
     new = points(spark, sf_dir).withColumn("id", F.col("id") * 2)
     twice = new.withColumn("origin", F.lit("a")).unionByName(new.withColumn("origin", F.lit("b")))
     merged = collections.upsert(old.select("id", "origin", "vector"), twice.select("id", "origin", "vector"))
-    return merged.select("id", "origin", F.get("vector", F.lit(0)).cast("double").alias("first_value"))
+    return _every_value(merged)
+
+
+FILE_DOCUMENTS = 64
 
 
 @check(
-    """
-SELECT source, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY source
+    f"""
+SELECT source, doc_id // {FILE_DOCUMENTS} AS part, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text
+FROM documents GROUP BY ALL
 """
 )
 def read_files(spark, sf_dir):
-    """Documents written as one text file per source, with equal file names, and read back."""
+    """Documents written as text files of a source's neighbouring ids, with equal file names
+    in many folders, and read back. No file holds more than ``FILE_DOCUMENTS`` of them."""
     path = scratch.new_path(spark, "files")
-    texts = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    ordered = texts.repartition(2, "source").sortWithinPartitions("source", "doc_id")
-    ordered.select("source", "text").write.partitionBy("source").text(path)
-    read = read_documents(spark, f"{path}/*")
-    return read.select(F.regexp_extract("doc_id", "/source=([^/]*)/", 1).alias("source"), "text")
+    part = F.floor(F.col("doc_id") / FILE_DOCUMENTS).alias("part")
+    texts = table(spark, sf_dir, "documents").select("source", part, "doc_id", "text")
+    ordered = texts.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id")
+    ordered.select("source", "part", "text").write.partitionBy("source", "part").text(path)
+    read = read_documents(spark, f"{path}/*/*")
+    return read.select(
+        F.regexp_extract("doc_id", "/source=([^/]*)/", 1).alias("source"),
+        F.regexp_extract("doc_id", "/part=([^/]*)/", 1).cast("long").alias("part"),
+        "text",
+    )
 
 
 @check(

@@ -1,8 +1,8 @@
 """Contexts, prompts, answers and search responses.
 
 Questions are asked with the reversed vectors of the whole embeddings table; the
-collection is the embeddings whose document exists. The higher threshold leaves some
-questions without hits.
+collection is all documents: with their vector of the table, else with a lexical one. The
+higher threshold leaves some questions without hits.
 """
 
 from __future__ import annotations
@@ -13,17 +13,34 @@ from askloom import fixed
 from askloom.checks.registry import check, table
 from askloom.checks.vector_checks import WIDTH
 from askloom.operators import context, inference, knowledge, search
+from askloom.plans import scratch
 
 MIN_SCORE = 0.35
 
+COLLECTION_SQL = f"""
+terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) AS term
+  FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)),
+counts AS (
+  SELECT doc_id, (('0x' || substr(md5(term), 1, 16))::UBIGINT % {WIDTH})::BIGINT AS slot, count(*) AS n
+  FROM terms GROUP BY ALL),
+units AS (SELECT doc_id, slot, (n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT AS x FROM counts),
+dense AS (
+  SELECT doc_id, list(coalesce(u.x, 0)::DOUBLE ORDER BY s.slot) AS v
+  FROM (SELECT DISTINCT doc_id FROM units) d CROSS JOIN range({WIDTH}) s(slot)
+  LEFT JOIN units u USING (doc_id, slot) GROUP BY doc_id),
+collection AS (
+  SELECT doc_id AS id, coalesce(embedding::DOUBLE[], dense.v) AS v, text
+  FROM documents LEFT JOIN embeddings ON vec_id = doc_id LEFT JOIN dense USING (doc_id)
+  WHERE embedding IS NOT NULL OR dense.v IS NOT NULL)"""
+
 HITS_SQL = f"""
 WITH asked AS (
   SELECT vec_id AS query_id, 'What is known about topic ' || label || '?' AS question,
          list_reverse(embedding)::DOUBLE[] AS v
   FROM embeddings),
-collection AS (
-  SELECT vec_id AS id, embedding::DOUBLE[] AS v, text
-  FROM embeddings JOIN documents ON doc_id = vec_id),
+{COLLECTION_SQL},
 scored AS (
   SELECT query_id, id, text, list_cosine_similarity(asked.v, collection.v) AS score
   FROM asked, collection),
@@ -57,11 +74,8 @@ def asked(spark, sf_dir):
         ),
         F.reverse("embedding").alias("vector"),
     )
-    known = vecs.join(documents, vecs["vec_id"] == documents["doc_id"], "left_semi").select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("vector")
-    )
-    hits = search.top_k(
-        questions.select("query_id", "vector"), known, width=WIDTH, min_score=MIN_SCORE
+    hits = stored(
+        search.top_k(questions.select("query_id", "vector"), collection(spark, sf_dir), width=WIDTH, min_score=MIN_SCORE), "hits"
     )
     texts = documents.select(F.col("doc_id").alias("id"), "text")
     return context.collect_hits(
@@ -69,6 +83,22 @@ def asked(spark, sf_dir):
     )
 
 
+def stored(df, name):
+    """``df`` written once, as the joins that follow read it several times."""
+    path = scratch.new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def collection(spark, sf_dir):
+    """A vector for every document: its own, else a lexical one of the same width."""
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    others = documents.join(vecs, "id", "left_anti").repartition(spark.sparkContext.defaultParallelism)
+    lexical = inference.embed_lexical([1.0] * WIDTH, others).select("id", "vector")
+    return vecs.join(documents, "id", "left_semi").unionByName(lexical)
+
+
 @check(HITS_SQL + "SELECT query_id, coalesce(context, '') AS context, coalesce(n, 0) AS n_hits FROM joined")
 def context_build(spark, sf_dir):
     return asked(spark, sf_dir).select(
@@ -114,9 +144,7 @@ def search_json(spark, sf_dir):
     f"""
 WITH wanted AS (
   SELECT event_id, json_extract_string(props, '$.k') AS query FROM events WHERE event_type <> 'error'),
-collection AS (
-  SELECT vec_id AS id, embedding::DOUBLE[] AS v, text
-  FROM embeddings JOIN documents ON doc_id = vec_id),
+{COLLECTION_SQL},
 scored AS (
   SELECT q.vec_id::VARCHAR AS query, id, text,
          list_cosine_similarity(list_reverse(q.embedding)::DOUBLE[], collection.v) AS score
@@ -140,16 +168,13 @@ def tool_searches(spark, sf_dir):
         F.when(F.col("event_type") == "error", "other").otherwise(knowledge.SEARCH_TOOL).alias("name"),
         F.to_json(F.struct(F.get_json_object("props", "$.k").alias("query"))).alias("args"),
     )
-    known = vecs.join(documents, vecs["vec_id"] == documents["doc_id"], "left_semi").select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("vector")
-    )
     named = vecs.select(
         F.col("vec_id").cast("string").alias("query"), F.reverse("embedding").alias("vector")
     )
     answered = knowledge.answer_searches(
         calls,
         lambda queries: queries.join(named, "query"),
-        known,
+        collection(spark, sf_dir),
         documents.select(F.col("doc_id").alias("id"), "text"),
         width=WIDTH,
         min_score=MIN_SCORE,
@@ -175,7 +200,7 @@ ANSWER_SQL = f"""
 @check(
     HITS_SQL
     + f"SELECT query_id, question, coalesce({ANSWER_SQL}, '{fixed.NO_ANSWER}') AS answer,"
-    " coalesce(n, 0) AS n_sources FROM joined"
+    " coalesce(array_to_string(previews, chr(30)), '') AS sources FROM joined"
 )
 def answer_records(spark, sf_dir):
     """Search, prompt, batch generation and the answer record with its fallback."""
@@ -188,5 +213,5 @@ def answer_records(spark, sf_dir):
     answers = inference.generate(prompts, make_counting_model)
     records = context.answer_records(questions, answers)
     return records.select(
-        "query_id", "question", "answer", F.size("sources").cast("long").alias("n_sources")
+        "query_id", "question", "answer", F.array_join("sources", "\x1e").alias("sources")
     )

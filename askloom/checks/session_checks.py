@@ -88,18 +88,20 @@ def stored_memory(spark, log):
 
 
 def open_requests(log):
-    """Every user message asked again, so that most sessions have several requests."""
-    return log.filter("role = 'user'").select(
-        F.concat_ws("-", F.col("session_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
-        "session_id",
-        F.col("content").alias("question"),
+    """The first and the last question of every session, asked again."""
+    asked = log.filter("role = 'user'").groupBy("session_id").agg(
+        F.min(F.struct("turn", "content")).alias("a"), F.max(F.struct("turn", "content")).alias("b")
     )
+    both = asked.select("session_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("q"))
+    named = F.concat_ws("-", F.col("session_id").cast("string"), F.col("q.turn").cast("string"))
+    return both.select(named.alias("request_id"), "session_id", F.col("q.content").alias("question"))
 
 
 REQUESTS_SQL = MEMORY_SQL + f"""
 , requests AS (
   SELECT conv_id || '-' || turn AS request_id, conv_id AS session_id, text AS question FROM conversations
-  WHERE role = 'user'),
+  WHERE role = 'user'
+  QUALIFY turn = min(turn) OVER (PARTITION BY conv_id) OR turn = max(turn) OVER (PARTITION BY conv_id)),
 sent AS (
   SELECT request_id, session_id, 1 AS part, position, role, content FROM memory JOIN requests USING (session_id)
   UNION ALL SELECT request_id, session_id, 0, 0, 'system', '{fixed.SYSTEM_TEXT}' FROM requests
@@ -109,31 +111,40 @@ sent AS (
 
 @check(REQUESTS_SQL + "SELECT * FROM sent")
 def session_requests(spark, sf_dir):
-    """Several open requests per session, told apart by their id."""
+    """Two open requests per session, told apart by their id."""
     log = messages(spark, sf_dir)
     return sessions.request_messages(open_requests(log), stored_memory(spark, log))
 
 
+PAYLOAD_ROWS = 4
+
+
 @check(
     REQUESTS_SQL
-    + """
-SELECT request_id, session_id,
-       to_json({'model': CASE WHEN session_id % 2 = 0 THEN '%s' ELSE '%s' END,
-                'messages': list({'role': role, 'content': content} ORDER BY part, position),
-                'tools': [{'type': 'function'}], 'tool_choice': 'auto', 'stream': false})::VARCHAR AS payload
-FROM sent GROUP BY request_id, session_id
-""".replace("%s", fixed.CHAT_AGENT_MODEL, 1).replace("%s", fixed.AGENT_MODEL, 1)
+    + f"""
+, models AS (
+  SELECT *, CASE WHEN session_id % 2 = 0 THEN '{fixed.CHAT_AGENT_MODEL}' ELSE '{fixed.AGENT_MODEL}' END AS model FROM requests)
+SELECT request_id, session_id, 0::BIGINT AS segment, '{{"model":"' || model || '","messages":[' AS text FROM models
+UNION ALL
+SELECT request_id, session_id, part * 1099511627776 + position // {PAYLOAD_ROWS} + 1,
+       CASE WHEN part = 0 THEN '' ELSE ',' END
+       || string_agg(to_json({{'role': role, 'content': content}})::VARCHAR, ',' ORDER BY position)
+FROM sent GROUP BY request_id, session_id, part, position // {PAYLOAD_ROWS}
+UNION ALL
+SELECT request_id, session_id, 1152921504606846976,
+       '],"tools":[{{"type":"function"}}],"tool_choice":"auto","stream":false}}' FROM models
+"""
 )
 def agent_payloads(spark, sf_dir):
-    """Bodies of agent requests; the model left out follows the backend's style."""
+    """Bodies of agent requests in bounded pieces; the model left out follows the backend's style."""
     log = messages(spark, sf_dir)
     requests = open_requests(log)
     style = F.when(F.col("session_id") % 2 == 0, "chat").otherwise("generate")
     filled = scalars.agent_requests(requests.withColumn("model", F.lit(None).cast("string")), style)
     filled = filled.select("request_id", "session_id", "model", F.lit(False).alias("stream"))
     tools = F.array(F.struct(F.lit("function").alias("type")))
-    return sessions.agent_payloads(
-        sessions.request_messages(requests, stored_memory(spark, log)), filled, tools
+    return sessions.payload_segments(
+        sessions.request_messages(requests, stored_memory(spark, log)), filled, tools, PAYLOAD_ROWS
     )
 
 

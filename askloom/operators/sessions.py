@@ -15,6 +15,7 @@ from askloom.plans.ordered import number_rows
 from askloom.plans.skew import spread_join
 
 SYSTEM, HISTORY, QUESTION = 0, 1, 2
+SEGMENT_MESSAGES = 1024
 
 
 def message(role: str | Column, content: Column) -> Column:
@@ -57,22 +58,45 @@ def request_messages(requests: DataFrame, memory: DataFrame) -> DataFrame:
     return past.unionByName(own, allowMissingColumns=True)
 
 
-def agent_payloads(sent: DataFrame, requests: DataFrame, tools: Column) -> DataFrame:
-    """``request_id, session_id, payload``: the body an agent request sends, as JSON text.
+def payload_segments(
+    sent: DataFrame, requests: DataFrame, tools: Column, rows: int = SEGMENT_MESSAGES
+) -> DataFrame:
+    """``request_id, session_id, segment, text``: the body an agent request sends, in pieces.
 
-    ``sent`` is the output of ``request_messages``; ``requests`` gives ``model`` and
-    ``stream``; ``tools`` are the tool descriptions, the same for all. A request is one
-    body and so its messages are collected, in order. NULL fields are left out.
+    The texts of a request, by ``segment``, are its JSON body end to end. A piece holds at
+    most ``rows`` messages, so a request on a session of any length is never one row.
+    ``sent`` is the stored output of ``request_messages``; ``requests`` gives ``model`` and
+    ``stream``; ``tools`` are the tool descriptions, the same for all. NULL fields are left out.
     """
     facts = [c for c in sent.columns if c not in ("request_id", "session_id", "part", "position")]
-    listed = sent.groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.struct("part", "position", *facts))).alias("sent")
+    at = F.col("part").cast("long") * F.lit(1 << 40) + F.floor(F.col("position") / F.lit(rows))
+    message_text = F.to_json(F.struct(*facts))
+    pieces = (
+        sent.withColumn("segment", at + 1)
+        .groupBy("request_id", "session_id", "segment")
+        .agg(F.array_sort(F.collect_list(F.struct("part", "position", message_text.alias("text")))).alias("held"))
     )
-    messages = F.transform("sent", lambda m: F.struct(*(m[c].alias(c) for c in facts)))
-    body = F.struct(
-        "model", messages.alias("messages"), tools.alias("tools"), F.lit("auto").alias("tool_choice"), "stream"
+    joined = F.array_join(F.transform("held", lambda m: m["text"]), ",")
+    comma = F.when(F.col("segment") > 1, ",").otherwise("")  # the system message comes first
+    pieces = pieces.select("request_id", "session_id", "segment", F.concat(comma, joined).alias("text"))
+
+    def fields(*names) -> Column:
+        """Members as they stand inside an object, without its braces."""
+        return F.regexp_extract(F.to_json(F.struct(*names)), r"(?s)^\{(.*)\}$", 1)
+
+    head = F.concat(F.lit("{"), fields("model"), F.when(F.col("model").isNotNull(), ",").otherwise(""), F.lit('"messages":['))
+    tail = F.concat(F.lit("],"), fields(tools.alias("tools"), F.lit("auto").alias("tool_choice"), "stream"), F.lit("}"))
+    ends = requests.select(
+        "request_id",
+        "session_id",
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).cast("long").alias("segment"), head.alias("text")),
+                F.struct(F.lit(1 << 60).cast("long").alias("segment"), tail.alias("text")),
+            )
+        ),
     )
-    return listed.join(requests, "request_id").select("request_id", "session_id", F.to_json(body).alias("payload"))
+    return pieces.unionByName(ends)
 
 
 def _part(part: int, role: str, content: Column) -> Column:

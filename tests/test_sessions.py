@@ -1,3 +1,5 @@
+import json
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -114,3 +116,19 @@ def test_message_list_of_a_row(spark):
     assert [m["content"] for m in got[0][0]] == [fixed.SYSTEM_TEXT, "before", "q"]
     assert [m["role"] for m in got[1][0]] == ["system", "user"]
     assert len(df.select(sessions.message_list(F.col("question"))).first()[0]) == 2
+
+
+def test_payload_pieces_are_bounded_and_make_one_body(spark):
+    memory = spark.createDataFrame(
+        [("s", i, "user" if i % 2 else "assistant", f'say "{i}"\n') for i in range(50)], "session_id string, position long, role string, content string"
+    )
+    requests = spark.createDataFrame([(1, "s", "and?", "m"), (2, "t", "hm", None)], "request_id int, session_id string, question string, model string")
+    sent = sessions.request_messages(requests, memory)
+    tools = F.array(F.struct(F.lit("function").alias("type")))
+    pieces = sessions.payload_segments(sent, requests.withColumn("stream", F.lit(True)), tools, 8).orderBy("segment").collect()
+    bodies = {i: json.loads("".join(p["text"] for p in pieces if p["request_id"] == i)) for i in (1, 2)}
+    listed = [("system", fixed.SYSTEM_TEXT), *((r["role"], r["content"]) for r in memory.collect()), ("user", "and?")]
+    assert [(m["role"], m["content"]) for m in bodies[1]["messages"]] == listed
+    assert max(p["text"].count('"role"') for p in pieces) == 8
+    assert bodies[1]["model"] == "m" and "model" not in bodies[2] and bodies[2]["stream"] is True
+    assert [m["role"] for m in bodies[2]["messages"]] == ["system", "user"] and bodies[2]["tools"] == [{"type": "function"}]
