@@ -82,19 +82,29 @@ def vector_topk_clustered(spark, sf_dir):
 
     The middles are the means of the labelled vectors, which SQL can repeat.
     """
+    clustered, middles = _clustered(spark, sf_dir)
+    return shown(clusters.probe_top_k(queries(spark, sf_dir), clustered, middles, width=WIDTH, probes=2))
+
+
+def _clustered(spark, sf_dir):
     path = scratch.new_path(spark, "clustered")
-    labelled = table(spark, sf_dir, "embeddings")
     middles = (
-        labelled.select(F.col("label").cast("long").alias("id"), F.posexplode("embedding").alias("i", "x"))
+        table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("id"), F.posexplode("embedding").alias("i", "x"))
         .groupBy("id", "i")
         .agg(F.avg(F.col("x").cast("double")).alias("x"))
         .groupBy("id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
     )
     clusters.write_clustered(points(spark, sf_dir), middles, path, width=WIDTH)
-    return shown(
-        clusters.probe_top_k(queries(spark, sf_dir), spark.read.parquet(path), middles, width=WIDTH, probes=2)
-    )
+    return spark.read.parquet(path), middles
+
+
+@check(TOPK_SQL)
+def vector_topk_bounded(spark, sf_dir):
+    """Exact search that leaves out clusters by the triangle inequality of angles."""
+    clustered, middles = _clustered(spark, sf_dir)
+    sizes = clusters.stored(clusters.radii(clustered, middles, width=WIDTH), "radii")
+    return shown(clusters.bounded_top_k(queries(spark, sf_dir), clustered, middles, sizes, width=WIDTH))
 
 
 @check(
