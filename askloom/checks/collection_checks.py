@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from askloom import fixed
 from askloom.checks.registry import check, table
 from askloom.checks.text_checks import LINES_SQL
 from askloom.checks.vector_checks import WIDTH, points
 from askloom.plans import scratch
-from askloom.sources import collections
+from askloom.sources import buckets, collections
 from askloom.sources.documents import chunk, read_documents
+from askloom.sources.large_files import large_file_chunks
 
 POINTS_SQL = f"""
 SELECT ('0x' || substr(md5(c.doc_id || '/' || c.chunk_index), 1, 15))::BIGINT AS id, c.text, d.source, c.chunk_index,
@@ -148,6 +150,48 @@ def upsert_repeats(spark, sf_dir):
     return _every_value(merged)
 
 
+@check(UPSERT_SQL)
+def upsert_in_buckets(spark, sf_dir):
+    """The same upsert into a collection cut into buckets, read back in its new version."""
+    path = scratch.new_path(spark, "buckets")
+    buckets.create_buckets(points(spark, sf_dir).withColumn("origin", F.lit("old")), path, 16)
+    new = points(spark, sf_dir).select(
+        (F.col("id") * 2).alias("id"), F.reverse("vector").alias("vector"), F.lit("new").alias("origin"), F.lit(2).alias("version")
+    )
+    stale = new.withColumn("origin", F.lit("stale")).withColumn("version", F.lit(1))
+    buckets.upsert_buckets(spark, path, stale.unionByName(new), version="version")
+    return _every_value(buckets.read_buckets(spark, path))
+
+
+@check(
+    """
+WITH lines AS (
+  SELECT source, doc_id // 64 AS part, doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+  FROM documents),
+kept AS (SELECT *, trim(line, %s) AS text FROM lines WHERE NOT starts_with(line, '#'))
+SELECT source, part, row_number() OVER (PARTITION BY source, part ORDER BY doc_id, line_no) - 1 AS chunk_index, text
+FROM kept WHERE text <> ''
+"""
+    % ("'" + fixed.WHITESPACE.replace("'", "''") + "'")
+)
+def large_files(spark, sf_dir):
+    """Documents written to files of many lines, each line a paragraph, and chunked in splits."""
+    path = scratch.new_path(spark, "large-files")
+    part = F.floor(F.col("doc_id") / 64).alias("part")
+    texts = table(spark, sf_dir, "documents").select("source", part, "doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    apart = texts.withColumn("text", F.concat("text", F.lit("\n")))
+    ordered = apart.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id")
+    ordered.select("source", "part", "text").write.partitionBy("source", "part").text(path)
+    chunks = large_file_chunks(spark, f"{path}/*/*")
+    return chunks.select(
+        F.regexp_extract("doc_id", "/source=([^/]*)/", 1).alias("source"),
+        F.regexp_extract("doc_id", "/part=([^/]*)/", 1).cast("long").alias("part"),
+        F.col("chunk_index").cast("long").alias("chunk_index"),
+        "text",
+    )
+
+
 FILE_DOCUMENTS = 64
 
 
