@@ -7,16 +7,21 @@ containment ``t``, as one more than the most shingles that an item found in a do
 lack: ``m = u - ceil(t * u) + 1``. So a document holding ``t`` of an item's shingles holds
 one of its sketch, whatever the document's length, and no item is missed.
 
+An item of fewer words than a shingle is one shingle whole, as long as it is; it is found
+where a document has just these words in a row.
+
 Documents stay where they are. The sketches of a block of items, of a fixed size, go to
 every task, where each shingle of each document is looked up in them; an item whose sketch
 is hit is then compared by its shingles' words, and counts if the document holds ``t`` of
-them. More items make more blocks, and a pass over the documents for each.
+them. More items make more blocks, and a pass over the documents for each, whose result
+is stored before the next block is read. A worker builds the index of a block once.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from askloom.llm import textkernel
+from askloom.llm.stored import stored
+from askloom.llm.workers import only
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -39,21 +46,14 @@ def plain_shingles(text: bytes, k: int = SHINGLE) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
 
 
-class ItemIndex:
-    """Sketches of one block of items, partitioned by size."""
+class Sketches:
+    """Sketches of items whose shingles have ``k`` words, partitioned by size."""
 
-    def __init__(self, items: list[tuple[int, bytes]], containment: float, k: int):
-        self.k, self.containment = k, containment
-        self.ids, self.shingles = [], []
+    def __init__(self, items: list[tuple[int, np.ndarray]], containment: float, k: int):
+        self.k = k
         by_class: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for item_id, text in items:
-            run = next(iter(textkernel.runs(pa.array([text.decode()]))))
-            hashes = textkernel.windows(textkernel.words(run, bare=True).hashes, k, 7)
-            if len(hashes):
-                hashes = textkernel.distinct(hashes)
-                by_class[len(hashes).bit_length()].append((len(self.ids), hashes))
-                self.ids.append(item_id)
-                self.shingles.append(plain_shingles(text, k))
+        for at, hashes in items:
+            by_class[len(hashes).bit_length()].append((at, hashes))
         entries = []
         for members in by_class.values():
             largest = max(len(h) for _, h in members)
@@ -74,22 +74,50 @@ class ItemIndex:
         inside = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
         return at, self.items[np.repeat(low, counts) + inside]
 
+
+class ItemIndex:
+    """One block of items: sketches for every length of shingles, and the shingles' words."""
+
+    def __init__(self, items: list[tuple[int, bytes]], containment: float, k: int):
+        self.containment = containment
+        self.ids, self.shingles, self.widths = [], [], []
+        by_width: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for item_id, text in items:
+            run = next(iter(textkernel.runs(pa.array([text.decode()]))))
+            words = textkernel.words(run, bare=True).hashes
+            if len(words):
+                width = min(k, len(words))
+                by_width[width].append((len(self.ids), textkernel.distinct(textkernel.windows(words, width, 7))))
+                self.ids.append(item_id)
+                self.shingles.append(plain_shingles(text, width))
+                self.widths.append(width)
+        self.sketches = [Sketches(members, containment, width) for width, members in sorted(by_width.items())]
+
     def found(self, run: textkernel.Run) -> Iterator[tuple[int, int, int, int]]:
         """``(row, item_id, shared, item_shingles)`` of each item inside a row."""
         words = textkernel.words(run, bare=True)
-        at, items = self.hits(textkernel.windows(words.hashes, self.k, 7))
-        inside = at + self.k <= words.bounds[words.rows[at] + 1]
-        pairs = sorted(set(zip(words.rows[at[inside]].tolist(), items[inside].tolist())))
-        seen, held = -1, set()
-        for row, item in pairs:
+        pairs = set()
+        for sketches in self.sketches:
+            at, items = sketches.hits(textkernel.windows(words.hashes, sketches.k, 7))
+            inside = at + sketches.k <= words.bounds[words.rows[at] + 1]
+            pairs.update(zip(words.rows[at[inside]].tolist(), items[inside].tolist()))
+        seen, held = -1, {}
+        for row, item in sorted(pairs):
             if row != seen:
-                seen, held = row, plain_shingles(run.text(row), self.k)
+                seen, held = row, {}
+            width = self.widths[item]
+            if width not in held:
+                held[width] = plain_shingles(run.text(row), width)
             whole = self.shingles[item]
-            shared = len(whole & held)
+            shared = len(whole & held[width])
             if shared >= self.containment * len(whole) - 1e-9:
                 yield row, self.ids[item], shared, len(whole)
 
 
+def index_of(held, version: str, containment: float, k: int) -> ItemIndex:
+    return only("benchmark items", (version, containment, k), lambda: ItemIndex(held.value, containment, k))
+
+
 def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
     """All items in blocks of about ``block_bytes``, one at a time on the driver."""
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -112,9 +140,9 @@ def find_items(
     """The columns of ``docs`` but ``text``, and ``item_id, shared, item_shingles, containment``:
     one row for each item inside a document.
 
-    Null and empty texts hold nothing and items of fewer than ``k`` words are in nothing; a
-    null ``doc_id`` or ``item_id`` stays null; repeated documents give a row each, repeated
-    items one; empty tables give no rows. Columns of ``docs`` named like a result give way.
+    Null and empty texts hold nothing and items without words are in nothing; a null ``doc_id``
+    or ``item_id`` stays null; repeated documents give a row each, repeated items one; empty
+    tables give no rows. Columns of ``docs`` named like a result give way.
     """
     own = ("item_id", "shared", "item_shingles", "containment", "text")
     others = [c for c in docs.columns if c not in own]
@@ -127,8 +155,10 @@ def find_items(
     items = items.filter(F.col("text").isNotNull()).distinct()
 
     def searched(held) -> DataFrame:
+        version = uuid.uuid4().hex
+
         def batches_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(held.value, containment, k)
+            index = index_of(held, version, containment, k)
             for batch in batches:
                 rows, found = [], []
                 for run in textkernel.runs(batch.column(batch.num_columns - 1)):
@@ -144,11 +174,13 @@ def find_items(
 
         return docs.select(*(docs[c] for c in others), docs["text"].cast("string")).mapInArrow(batches_out, fields)
 
-    found = None
+    found, last = None, None
     for block in item_blocks(items, block_bytes):
-        part = searched(spark.sparkContext.broadcast(block))
-        found = part if found is None else found.unionByName(part)
-    return found
+        if last is not None:  # there are more: store this block's rows before the next is held
+            part = stored(spark, last, "items-found")
+            found = part if found is None else found.unionByName(part)
+        last = searched(spark.sparkContext.broadcast(block))
+    return last if found is None else found.unionByName(last)
 
 
 def drop_contaminated(
@@ -166,8 +198,10 @@ def drop_contaminated(
     items = items.filter(F.col("text").isNotNull()).distinct()
 
     def without(docs: DataFrame, held) -> DataFrame:
+        version = uuid.uuid4().hex
+
         def batches_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(held.value, containment, k)
+            index = index_of(held, version, containment, k)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for run in textkernel.runs(batch.column(at)):

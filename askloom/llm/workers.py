@@ -18,3 +18,12 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in home:
         home[key] = make()
     return home[key]
+
+
+def only(name: Hashable, version: Hashable, make: Callable[[], Any]) -> Any:
+    """Like ``kept``, but of each name only the version asked for last is held."""
+    held = kept(("only", name), dict)
+    if version not in held:
+        held.clear()
+        held[version] = make()
+    return held[version]

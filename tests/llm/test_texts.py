@@ -167,23 +167,32 @@ def test_secrets(spark, corpus):
 
 def test_decontamination(spark):
     rng = plain.generator(6)
-    items = [plain.prose(rng, n) for n in (3, 5, 12, 30, 60, 200)]
+    items = [plain.prose(rng, n) for n in (3, 5, 12, 30, 60, 200)] + ["zq, Zw", "zx"]
     texts = [plain.prose(rng, 2000) for _ in range(20)]
-    for i, item in enumerate(items):
+    for i, item in enumerate(items[:6]):
         at = rng.randrange(len(texts[i]))
         texts[i] = texts[i][:at] + ", " + item.replace(" ", " - ").replace("t", "T") + "! " + texts[i][at:]
         texts[i + 6] = plain.prose(rng, 900) + " " + plain.edited(rng, item, 1) + "\n" + plain.prose(rng, 5)
+    texts += ["a zq-zw b", "zw zq", "(ZX)", "zxx", "zq\nzw"]
     rows = [*enumerate(texts), *((None if i is None else 50 + i, t) for i, t in plain.odd_rows()), (None, items[3])]
     docs = plain.documents(spark, rows, spread=True).withColumns({"item_id": F.lit("x"), "shared": F.lit(1)})
     bench = spark.createDataFrame([*enumerate(items), (77, None), (78, ""), (3, items[3])], "item_id long, text string")
     want = set()
+    marks = re.compile(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+")
+
+    def shingles(text, k=None):
+        folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = marks.findall(folded)
+        k = min(5, len(words)) if k is None else k
+        return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}, k
+
     for key, t in rows:
-        held = decontamination.plain_shingles((t or "").encode())
         for i, item in enumerate(items):
-            own = decontamination.plain_shingles(item.encode())
+            own, k = shingles(item)
+            held, _ = shingles(t, k)
             if own and len(own & held) >= 0.8 * len(own):
                 want.add((key, i, len(own & held), len(own)))
-    assert len(want) > 8
+    assert len(want) > 8 and {i for _, i, *_ in want} >= {0, 6, 7}
     for block_bytes in (decontamination.BLOCK_BYTES, 200):  # one block, and several
         got = decontamination.find_items(spark, docs, bench, block_bytes=block_bytes).collect()
         assert {(r.doc_id, r.item_id, r.shared, r.item_shingles) for r in got} == want and len(got) == len(want)
