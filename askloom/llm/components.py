@@ -5,14 +5,15 @@ it had, and follows; so trees of labels merge and flatten together and the round
 with the logarithm of the longest path. Minima are combined before they are shuffled and
 joins on labels, of which one may be held by most vertices, have stored tables on both
 sides, so that Spark can split hot partitions.
-Each round is written to the shared folder; nothing but a count reaches the driver.
+Each round is written to the shared folder, and the one before it deleted; nothing but a
+count reaches the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askloom.llm.stored import stored
+from askloom.llm.stored import release, stored
 
 
 def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -36,9 +37,11 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
             "heard",
         )
         if not heard.filter(F.col("near") < F.col("root")).limit(1).count():
+            release(both, heard)
             return labels
         told = heard.groupBy(F.col("root").alias("old")).agg(F.min("near").alias("told"))
         told = stored(spark, told.filter(F.col("told") < F.col("old")), "told")
         followed = heard.withColumnRenamed("root", "old").join(told, "old", "left")
         step = followed.select("id", F.least("near", F.coalesce("told", "near")).alias("root"))
-        labels = stored(spark, step, "labels")
+        labels, old = stored(spark, step, "labels"), labels
+        release(old, heard, told)

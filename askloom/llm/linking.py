@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from askloom.llm.components import connected
-from askloom.llm.stored import stored
+from askloom.llm.stored import release, stored
 
 
 def linked_groups(
@@ -54,6 +54,7 @@ def linked_groups(
     first = chosen.select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
     first = stored(spark, first, "first-pairs")
     links = stored(spark, compare(first), "first-links")
+    release(pivots)
     roots = connected(spark, links)
 
     placed = members.join(roots, "id", "left")
@@ -69,6 +70,7 @@ def linked_groups(
     if profiles is not None:
         open_ = stored(spark, open_, "open-ids").join(profiles, "id")
     open_ = stored(spark, open_, "open-members")
+    release(placed, main)
     apart = stored(spark, open_.filter(F.col("root") != F.col("main")), "apart-members")
 
     def named(df: DataFrame, end: str) -> DataFrame:
@@ -89,6 +91,7 @@ def linked_groups(
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     again = stored(spark, again.join(tried, ["a", "b"], "left_anti"), "further-pairs")
 
+    release(open_, apart)
     one = again.groupBy("root_a", "root_b").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*")
     one = stored(spark, one, "component-pairs")
     links = stored(spark, links.select("a", "b").union(compare(one).select("a", "b")), "second-links")

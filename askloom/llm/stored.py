@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_PATH = "_stored_path"
 _own: list[str] = []
 
 
@@ -27,4 +28,19 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again, which cuts its lineage."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.__dict__[_PATH] = path
+    return held
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` gave, once all that reads them is stored.
+
+    Tables that were not stored here are left alone.
+    """
+    for df in tables:
+        path = df.__dict__.pop(_PATH, None)
+        if path is not None:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
