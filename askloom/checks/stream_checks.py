@@ -85,7 +85,7 @@ def _arriving(spark, steps, emit):
 
 
 def _timed(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("at", F.timestamp_seconds(F.col("seq")))
+    return lines.withColumn("at", F.timestamp_seconds(F.lit(1_767_225_600) + F.col("seq")))
 
 
 @check(reply_checks.TEXT_SQL)
