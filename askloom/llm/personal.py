@@ -6,25 +6,25 @@ sums of lengths. All parts that may repeat are possessive, and runs are only tri
 their beginning or where the last match ended, so matching takes linear time.
 
 The fixed patterns' matches are seeds of a bootstrap. An occurrence has lexical patterns:
-the two words before it, and the word before it with its shape. Occurrences of seeds and
-of other strings with many digits form a graph of patterns and instances. Repeatedly, a
-pattern is trusted if at least ``SUPPORT`` known instances occur in it and they are at least
-``PRECISION`` of its instances, and then all of its instances become known. Occurrences in
-a trusted pattern are reported besides the seeds.
+the two words before it, and the word before it with its shape. The words are those of the
+text, other strings with digits among them; digits count as equal. Occurrences of seeds and
+of other strings with many digits form a graph of patterns and instances. A pattern is
+trusted if at least ``SUPPORT`` known instances occur in it and they are at least
+``PRECISION`` of its instances, and then all of its instances become known; this goes on
+until no pattern is added. Occurrences in a trusted pattern are reported besides the seeds.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from askloom.llm.stored import stored
+from askloom.llm.stored import release, stored
 from askloom.plans.skew import spread_join
 
-ROUNDS = 3
 SUPPORT = 3
 PRECISION = 0.5
-CONTEXT_CHARS = 64  # of the gap before an occurrence, in which its words are looked for
 MIN_DIGITS = 5
+LAST_PIECES = 4  # two words, one that may be cut, and what stands at the occurrence itself
 
 # The kinds in their order; "context" is what the bootstrap adds.
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -75,7 +75,7 @@ def matches(text: Column) -> Column:
             both,
             lambda x: F.struct(
                 F.length(x["gap"]).cast("long").alias("gap"),
-                F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("before"),
+                F.substring_index(F.regexp_replace(x["gap"], r"\s++", " "), " ", -LAST_PIECES).alias("before"),
                 x["hit"].alias("hit"),
             ),
         )
@@ -101,7 +101,7 @@ def is_valid(kind: Column, hit: Column) -> Column:
 
 def lexical_patterns(before: Column, hit: Column) -> Column:
     """The patterns of an occurrence; none without a word before it."""
-    before = F.lower(before)
+    before = F.regexp_replace(F.lower(before), "[0-9]+", "9")
     two = F.regexp_extract(before, r"(\S+\s+\S+)\s*\z", 1)
     one = F.regexp_extract(before, r"(\S+)\s*\z", 1)
     shape = F.regexp_replace(F.regexp_replace(hit, "[A-Za-z]+", "a"), "[0-9]+", "9")
@@ -124,6 +124,10 @@ def occurrences(texts: DataFrame) -> DataFrame:
     rows = rows.select("rid", "key", "kind", "at", "part.*").withColumn("size", F.length("hit").cast("long"))
     running = Window.partitionBy("rid", "kind").orderBy("at")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(running))
+    in_order = Window.partitionBy("rid", "kind").orderBy("at")
+    piece = F.concat("before", "hit")  # a match, failing ones too, is at least a word of the next one's context
+    context = F.concat(F.lag(piece, 2, "").over(in_order), F.lag(piece, 1, "").over(in_order), "before")
+    rows = rows.withColumn("before", context)
     rows = rows.filter(is_valid(F.col("kind"), F.col("hit"))).withColumn("start", F.col("end") - F.col("size"))
     is_base = F.col("kind") < KINDS.index("context")
     by_place = Window.partitionBy("rid").orderBy("start", "end", "kind")
@@ -141,7 +145,11 @@ def occurrences(texts: DataFrame) -> DataFrame:
 
 
 def trusted_patterns(spark: SparkSession, found: DataFrame) -> DataFrame:
-    """``pattern`` for those trusted after ``ROUNDS`` rounds over ``found``, a stored table."""
+    """``pattern`` for all that become trusted over ``found``, a stored table.
+
+    Known instances and trusted patterns only grow, so the rounds end; each one's tables are
+    deleted when the next one's are written.
+    """
     edges = stored(
         spark,
         found.select(F.explode("patterns").alias("pattern"), "value", (F.col("kind") < KINDS.index("context")).alias("seed"))
@@ -149,20 +157,23 @@ def trusted_patterns(spark: SparkSession, found: DataFrame) -> DataFrame:
         .agg(F.max("seed").alias("seed")),
         "pattern-instances",
     )
-    known = edges.groupBy("value").agg(F.max("seed").alias("known"))
-    trusted = None
-    for _ in range(ROUNDS):
-        known = stored(spark, known, "known-instances")
+    known = stored(spark, edges.groupBy("value").agg(F.max("seed").alias("known")), "known-instances")
+    trusted, n = None, 0
+    while True:
         seen = spread_join(edges.select("pattern", "value"), known, "value")
         counts = seen.groupBy("pattern").agg(F.count_if("known").alias("known"), F.count("*").alias("all"))
-        trusted = stored(
-            spark,
-            counts.filter((F.col("known") >= SUPPORT) & (F.col("known") >= PRECISION * F.col("all"))).select("pattern"),
-            "trusted-patterns",
-        )
+        enough = (F.col("known") >= SUPPORT) & (F.col("known") >= PRECISION * F.col("all"))
+        now = stored(spark, counts.filter(enough).select("pattern"), "trusted-patterns")
+        if trusted is not None:
+            release(trusted)
+        trusted, before, n = now, n, now.count()
+        if n == before:
+            release(edges, known)
+            return trusted
         reached = spread_join(edges.select("pattern", "value"), trusted, "pattern").select("value", F.lit(True).alias("known"))
-        known = known.union(reached).groupBy("value").agg(F.max("known").alias("known"))
-    return trusted
+        wider = known.union(reached).groupBy("value").agg(F.max("known").alias("known"))
+        known, old = stored(spark, wider, "known-instances"), known
+        release(old)
 
 
 def find_personal(spark: SparkSession, docs: DataFrame) -> DataFrame:

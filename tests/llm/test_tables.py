@@ -142,6 +142,38 @@ def test_personal_data(spark):
     assert personal.find_personal(spark, docs.limit(0)).collect() == []
 
 
+def test_identifiers_without_a_fixed_form(spark):
+    """Contexts that become trusted one after the other, six rounds deep; ordinary numbers stay."""
+    rng = plain.generator(9)
+    chain = ["you can call me at", "my private line is", "member no 12", "ask at desk 7 for", "signed with\n\tbadge", "his card reads"]
+    number = lambda: f"{rng.randrange(10**3):03}-{rng.randrange(10**7):07}"
+    prose = lambda: plain.prose(rng, rng.randint(3, 60))
+    planted, texts = set(), []
+    for i, context in enumerate(chain):
+        shared = [f"+4930{rng.randrange(10**7):07}" if i == 0 else number() for _ in range(3 * (len(chain) - i))]
+        if i:  # numbers that tie a context to the one before it
+            texts += [(f"{chain[i - 1]} ", x) for x in shared]
+        texts += [(f"{context} ", x) for x in shared + [number() for _ in range(3)]]
+    rows = []
+    for i, (context, value) in enumerate(texts):
+        lead = prose() + " " + context
+        rows.append((i, f"{lead}{value} {prose()}"))
+        if not value.startswith("+"):
+            planted.add((i, f"context:{len(lead)}:{len(lead) + len(value)}"))
+    ordinary = ["invoice total of", "published in", "pages", "item 5 of", "see section"]
+    rows += [(1000 + i, f"{prose()} {rng.choice(ordinary)} {number()} {prose()}") for i in range(200)]
+    docs = plain.documents(spark, rows, spread=True)
+    got = {(r.doc_id, s) for r in personal.find_personal(spark, docs).collect() for s in r.spans.split(",") if s.startswith("context")}
+    assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) <= 0.02 * 200
+
+
+def test_words_before_an_occurrence(spark):
+    texts = {1: "account no 12 3456789", 2: "1 2 3456789", 3: "a\n\t b   (3456789", 4: "3456789", 5: "x" * 200 + " y 3456789"}
+    found = personal.occurrences(plain.documents(spark, texts).select(F.col("doc_id").alias("key"), "text")).collect()
+    got = {r.key: r.patterns for r in found if r.value.endswith("3456789")}
+    assert got == {1: ["no 9", "9 | 9"], 2: ["9 9", "9 | 9"], 3: ["a b", "b | (9"], 4: [], 5: ["x" * 200 + " y", "y | 9"]}
+
+
 def test_plan_of_personal_data_is_native(spark):
     plan = personal.find_personal(spark, plain.documents(spark, {1: "a@b.cc"}))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
