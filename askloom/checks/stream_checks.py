@@ -12,6 +12,7 @@ from askloom.operators import replies
 from askloom.plans import scratch
 from askloom.plans.ordered import number_rows
 from askloom.plans.skew import spread_join
+from askloom.sources import wire
 from askloom.sources.replies import stream_lines
 from askloom.streaming import emitted, jobs
 
@@ -135,3 +136,67 @@ def stream_sessions(spark, sf_dir):
     placed = spread_join(numbered, leads, "session_id", "left")
     before = F.when(F.col("part") == jobs.TURN, F.coalesce("leads", F.lit(0))).otherwise(0)
     return placed.select("session_id", (before + F.col("row_no") - 1).alias("position"), "role", "content")
+
+
+BYTES = 1 << 20  # raw lines are ordered by bytes, of which a segment may hold many
+
+WIRE_SQL = """
+WITH placed AS (SELECT *, conv_id // 16 AS convs, turn // 64 AS turns FROM conversations)
+SELECT convs, turns, row_number() OVER (PARTITION BY convs, turns ORDER BY conv_id, turn) - 1 AS reply, text AS content
+FROM placed
+"""
+
+
+def _captured(spark, sf_dir, lines) -> DataFrame:
+    """Raw lines in the order they came, by capture: 16 conversations, 64 turns of each."""
+    placed = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.floor(F.col("conv_id") / 16).alias("convs"), F.floor(F.col("turn") / 64).alias("turns"),
+        F.posexplode(lines(F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0)))).alias("at", "line"),
+    )
+    ordered = placed.repartition("convs", "turns").sortWithinPartitions("convs", "turns", "conv_id", "turn", "at")
+    line = F.when(F.col("at") % 2 == 0, F.concat("line", F.lit("\r"))).otherwise(F.col("line"))
+    return ordered.select("convs", "turns", line.alias("line"))
+
+
+def _ndjson_body(pieces):
+    tokens = F.transform(pieces, lambda p: F.to_json(F.struct(p.alias("response"), F.lit(False).alias("done"))))
+    return F.concat(F.array(F.lit(""), F.lit("not json")), tokens, F.array(F.lit('{"response": "", "done": true}')))
+
+
+def _sse_body(pieces):
+    def event(token):
+        choice = F.struct(F.struct(token.alias("content")).alias("delta"))
+        return F.concat(F.lit("data: "), F.to_json(F.struct(F.array(choice).alias("choices"))))
+
+    return F.concat(F.array(F.lit(": comment")), F.transform(pieces, event), F.array(F.lit(""), F.lit("data: [DONE]")))
+
+
+def _contents(parted: DataFrame, tokens) -> DataFrame:
+    named = parted.select(F.to_json(F.struct("path", "reply")).alias("response_id"), "seq", "line")
+    whole = replies.reassemble(tokens(named), BYTES)
+    path = F.get_json_object("response_id", "$.path")
+    return whole.select(
+        F.regexp_extract(path, "/convs=([0-9]+)/", 1).cast("long").alias("convs"),
+        F.regexp_extract(path, "/turns=([0-9]+)/", 1).cast("long").alias("turns"),
+        F.get_json_object("response_id", "$.reply").cast("long").alias("reply"),
+        "content",
+    )
+
+
+@check(WIRE_SQL)
+def wire_replies(spark, sf_dir):
+    """Captured event streams, many replies end to end in a file, read in splits."""
+    path = scratch.new_path(spark, "captures")
+    _captured(spark, sf_dir, _sse_body).write.partitionBy("convs", "turns").text(path)
+    return _contents(wire.part_replies(wire.read_wire(spark, f"{path}/*/*"), wire.sse_end()), replies.sse_tokens)
+
+
+@check(WIRE_SQL)
+def stream_wire(spark, sf_dir):
+    """Captured NDJSON lines that arrive in two steps; the job is started again for the second."""
+    path, (out, progress) = scratch.new_path(spark, "captures"), _paths(spark, "wire")
+    lines = _captured(spark, sf_dir, _ndjson_body)
+    for step in (lines.filter("convs % 2 = 0"), lines.filter("convs % 2 = 1")):
+        step.write.partitionBy("convs", "turns").mode("append").text(path)
+        jobs.append(wire.stream_wire(spark, f"{path}/*/*"), out, progress).awaitTermination()
+    return _contents(wire.part_replies(spark.read.parquet(out), wire.ndjson_end()), replies.ndjson_tokens)
