@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from askloom.checks.registry import check, table
 from askloom.functions import vectors
 from askloom.functions.scalars import round_score
-from askloom.operators import clusters, search
+from askloom.operators import clusters, quantised, search
 from askloom.plans import scratch
 
 WIDTH = 64
@@ -107,6 +107,25 @@ def vector_topk_bounded(spark, sf_dir):
     return shown(clusters.bounded_top_k(queries(spark, sf_dir), clustered, middles, sizes, width=WIDTH))
 
 
+@check(
+    f"""
+SELECT (SELECT count(*) FROM embeddings) AS queries, count(*) AS wanted, 0 AS wrong, TRUE AS nine_of_ten FROM ({TOPK_SQL})
+"""
+)
+def quantised_recall(spark, sf_dir):
+    """Every vector searched on codes of 16 bytes: how many hits there are, and whether nine of
+    ten are found. ``wrong`` counts found ones that the exact search scores otherwise."""
+    own = points(spark, sf_dir)
+    books = clusters.stored(quantised.fit_books(own, width=WIDTH), "books")
+    codes = clusters.stored(quantised.encode(own, books, width=WIDTH), "codes")
+    asked = queries(spark, sf_dir)
+    found = shown(quantised.quantised_top_k(asked, codes, own, books, width=WIDTH)).select("query_id", "id", F.col("score").alias("found"))
+    both = shown(search.top_k(asked, own, width=WIDTH)).join(found, ["query_id", "id"], "left")
+    share = F.count("found") >= 0.9 * F.count("*")
+    counts = both.agg(F.count("*").alias("wanted"), F.count_if(F.col("found") != F.col("score")).alias("wrong"), share.alias("nine_of_ten"))
+    return counts.select(F.lit(asked.count()).cast("long").alias("queries"), "wanted", "wrong", "nine_of_ten")
+
+
 @check(
     """
 WITH scored AS (
