@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from askloom.checks import reply_checks, session_checks
 from askloom.checks.registry import check, table
-from askloom.checks.text_checks import LINES_SQL
+from askloom.checks.text_checks import LINES_SQL, chunk_sql
 from askloom.checks.vector_checks import TOPK_SQL, WIDTH, points, shown
 from askloom.operators import replies
 from askloom.plans import scratch
 from askloom.plans.ordered import number_rows
 from askloom.plans.skew import spread_join
-from askloom.sources import wire
+from askloom.sources import changes, wire
 from askloom.sources.replies import stream_lines
 from askloom.streaming import emitted, jobs
 
@@ -200,3 +200,22 @@ def stream_wire(spark, sf_dir):
         step.write.partitionBy("convs", "turns").mode("append").text(path)
         jobs.append(wire.stream_wire(spark, f"{path}/*/*"), out, progress).awaitTermination()
     return _contents(wire.part_replies(spark.read.parquet(out), wire.ndjson_end()), replies.ndjson_tokens)
+
+
+EDITED = "CASE WHEN doc_id % 3 = 0 THEN 'first' || chr(10) || text WHEN doc_id % 7 = 0 THEN NULL ELSE text END"
+
+
+@check(chunk_sql(EDITED, "chr(10)"))
+def stream_changes(spark, sf_dir):
+    """All documents, and then edited, deleted and unchanged ones, logged by a stream: what is
+    left of every document is what a fresh build gives."""
+    arriving, (path, progress) = scratch.new_path(spark, "arriving"), _paths(spark, "chunk-log")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = documents.select("doc_id", F.expr(EDITED).alias("text"))
+    changes.create_log(spark, path)
+    for step in (documents, edited):
+        step.write.mode("append").parquet(arriving)
+        source = spark.readStream.schema("doc_id long, text string").parquet(arriving)
+        jobs.follow_documents(source, path, progress, delimiter="\n").awaitTermination()
+    chunks = changes.current_chunks(changes.read_log(spark, path))
+    return chunks.withColumn("chunk_index", F.col("chunk_index").cast("long"))

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from askloom import fixed
 from askloom.operators import search
 from askloom.operators.sessions import lead_and_turn
+from askloom.sources import changes
 from askloom.sources.documents import chunk
 
 LEAD, TURN = 0, 1
@@ -46,6 +47,28 @@ def ingest_chunks(
     return append(chunk(documents, keys=keys, delimiter=delimiter), path, checkpoint, once)
 
 
+def follow_documents(
+    documents: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    modified: str | None = None,
+    delimiter: str = fixed.PARAGRAPH_DELIMITER,
+    once: bool = True,
+) -> StreamingQuery:
+    """Log how arriving documents change the chunks in the log at ``path``, which must exist.
+
+    A document that comes again replaces its chunks, one with a null text loses them. Of
+    several in a batch the last by ``modified`` counts. Read the result by
+    ``changes.current_chunks``.
+    """
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        changes.log_load(batch.sparkSession, path, batch, batch_id, modified=modified, delimiter=delimiter)
+
+    return _start(documents.writeStream.foreachBatch(load), checkpoint, once)
+
+
 def ingest_tokens(
     lines: DataFrame,
     parse: Callable[[DataFrame], DataFrame],
