@@ -54,6 +54,42 @@ def test_best_fit():
     assert max(sharding.tightest(sizes, 7)) < 7 and sharding.tightest([], 3) == []
 
 
+def test_runs_are_placed_like_single_items():
+    rng = plain.generator(3)
+    for _ in range(60):
+        runs = sorted({rng.randint(1, 60): rng.randint(1, 12) for _ in range(rng.randint(1, 20))}.items(), reverse=True)
+        sizes = [x for x, n in runs for _ in range(n)]
+        placed = sharding.best_fit_runs(runs, 70)
+        assert [b for bins in placed for b, n in bins for _ in range(n)] == sharding.best_fit(sizes, 70)
+        bins = max(b for x in placed for b, _ in x) + 1
+        assert sharding.best_fit_runs(runs, 70, bins) == placed and sharding.best_fit_runs(runs, 70, bins - 1) is None
+        load = [0] * 6
+        for (x, n), bins in zip(runs, sharding.tightest_runs(runs, 6)):
+            assert sum(k for _, k in bins) == n
+            for b, k in bins:
+                load[b] += k * x
+        assert max(load) <= max(max(sizes), 4 / 3 * sum(sizes) / 6 + max(sizes))
+    assert sharding.tightest([900] + [10] * 6, 3)[0] == 0 and sorted(sharding.tightest([900] + [10] * 6, 3)[1:]) == [1, 1, 1, 2, 2, 2]
+
+
+def test_bytes_are_nearly_equal_beside_a_hot_group(spark):
+    """One group holds a third of all rows; the shards of the others differ by less than a percent."""
+    rng = plain.generator(4)
+    rows = [(i, "a text that very many documents are copies of " * 3) for i in range(1000)]
+    rows += [(1000 + i, plain.prose(rng, rng.randint(1, 60))) for i in range(2000)]
+    docs = plain.documents(spark, rows, spread=True)
+    for most in (sharding.MAX_SIZES, 3):  # the second by bundles
+        got = sharding.shard_by_bytes(spark, docs, max_sizes=most).collect()
+        load, hot = defaultdict(int), {r.shard for r in got if r.doc_id < 1000}
+        for r in got:
+            load[r.shard] += r.size
+        others = [load[i] for i in range(16) if i not in hot]
+        assert len(got) == 3000 and len(hot) == 1 and len(others) == 15
+        assert most == 3 or max(others) <= 1.01 * min(others)
+        slots = sorted((r.shard, r.slot) for r in got)
+        assert len(set(slots)) == 3000 and all(max(x for b, x in slots if b == i) + 1 == sum(b == i for b, _ in slots) for i in range(16))
+
+
 RULE_TEXTS = [(r.verdict, r.host, r.path) for r in urlfilter.RULES]
 
 
