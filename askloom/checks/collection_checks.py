@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from askloom import fixed
@@ -9,7 +11,7 @@ from askloom.checks.registry import check, table
 from askloom.checks.text_checks import LINES_SQL
 from askloom.checks.vector_checks import WIDTH, points
 from askloom.plans import scratch
-from askloom.sources import buckets, collections
+from askloom.sources import aligned, buckets, collections
 from askloom.sources.documents import chunk, read_documents
 from askloom.sources.large_files import large_file_chunks
 
@@ -34,19 +36,21 @@ def chunk_id():
     return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
-def _points(spark, sf_dir):
+def _chunks_and_vectors(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     chunks = chunk(documents, keys=("doc_id", "source"), delimiter="\n")
     vecs = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")
     )
-    embedded = chunks.select("doc_id", "chunk_index").join(vecs, "doc_id")
-    return collections.as_points(
-        collections.attach_vectors(chunks, embedded),
-        chunk_id(),
-        source=F.col("source"),
-        chunk_index=F.col("chunk_index"),
-    )
+    return chunks, chunks.select("doc_id", "chunk_index").join(vecs, "doc_id")
+
+
+def _as_points(attached):
+    return collections.as_points(attached, chunk_id(), source=F.col("source"), chunk_index=F.col("chunk_index"))
+
+
+def _points(spark, sf_dir):
+    return _as_points(collections.attach_vectors(*_chunks_and_vectors(spark, sf_dir)))
 
 
 def _flat(nested):
@@ -70,6 +74,17 @@ def points_build(spark, sf_dir):
     return _flat(accepted)
 
 
+@check(POINTS_SQL)
+def points_aligned(spark, sf_dir):
+    """The same from chunk and vector tables in buckets, which join without a shuffle."""
+    names = []
+    for name, df in zip(("chunks", "vectors"), _chunks_and_vectors(spark, sf_dir)):
+        names.append(f"{name}_{uuid.uuid4().hex}")
+        aligned.write_aligned(df, names[-1], scratch.new_path(spark, name), 16)
+    accepted, _ = collections.split_by_width(_as_points(aligned.attach_aligned(spark, *names)), WIDTH)
+    return _flat(accepted)
+
+
 @check(REJECTS_SQL)
 def points_rejected(spark, sf_dir):
     """The chunks that ``points_build`` leaves, with a NULL norm."""
