@@ -18,11 +18,9 @@ from askloom.streaming import emitted, jobs
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named table as a file stream."""
+    """The named table, a file or a folder of files, as a file stream."""
     schema = table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*").parquet(sf_dir)
-    )
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a stream takes a file by pattern only
 
 
 def _paths(spark, name):

@@ -2,10 +2,13 @@
 
 import json
 import os
+import shutil
 
+import pytest
 from conftest import rows
 from pyspark.sql import Window, functions as F
 
+from askloom.checks import CHECKS
 from askloom.operators import replies, search, sessions
 from askloom.sources.documents import from_files
 from askloom.sources.replies import stream_lines
@@ -119,3 +122,26 @@ def test_session_totals_as_a_stream(spark, tmp_path):
     )
     query.awaitTermination()
     assert rows(spark.table("totals")) == [("a", 1, 2)]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_registered_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, files):
+    docs = [(i, f"first {i}\n# heading\n\nlast {i}") for i in range(20)]
+    vecs = [(i, [float(i % 4 == j % 4) for j in range(64)]) for i in range(8)]
+    turns = [(i // 4, i % 4, "user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(16)]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id long, text string"),
+        "embeddings": spark.createDataFrame(vecs, "vec_id long, embedding array<float>"),
+        "conversations": spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"),
+    }
+    for name, df in tables.items():
+        folder = str(tmp_path / (f"{name}.parquet" if files > 1 else f"{name}-parts"))
+        df.repartition(files).write.parquet(folder)
+        if files == 1:
+            (part,) = (tmp_path / f"{name}-parts").glob("*.parquet")
+            shutil.copy(part, tmp_path / f"{name}.parquet")
+    run = lambda name: rows(CHECKS[name].run(spark, str(tmp_path)))
+    assert len(run("stream_chunks")) == 40 and run("stream_chunks") == run("chunk_lines")
+    assert len(run("stream_search")) == 16 and run("stream_search") == run("vector_topk")
+    memory = rows(CHECKS["session_memory"].run(spark, str(tmp_path)).select("session_id", "position", "role", "content"))
+    assert run("stream_sessions") == memory and len(memory) == 24
