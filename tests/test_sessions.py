@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from askloom import fixed
+from askloom.checks import CHECKS
 from askloom.operators import sessions
 from askloom.plans.ordered import bucket_sizes, number_rows
 
@@ -132,3 +133,21 @@ def test_payload_pieces_are_bounded_and_make_one_body(spark):
     assert max(p["text"].count('"role"') for p in pieces) == 8
     assert bodies[1]["model"] == "m" and "model" not in bodies[2] and bodies[2]["stream"] is True
     assert [m["role"] for m in bodies[2]["messages"]] == ["system", "user"] and bodies[2]["tools"] == [{"type": "function"}]
+
+
+def test_every_question_of_a_session_is_asked_again(spark, tmp_path):
+    """Three questions a session make three requests, in the message list and in the bodies."""
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in range(3) for t in range(6)]
+    log = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    log.write.parquet(str(tmp_path / "conversations.parquet"))
+    asked = {f"{c}-{t}" for c in range(3) for t in (0, 2, 4)}
+    sent = CHECKS["session_requests"].run(spark, str(tmp_path)).collect()
+    assert {r.request_id for r in sent} == asked and len(sent) == len(asked) * (2 + 6 + 3)
+    bodies = CHECKS["agent_payloads"].run(spark, str(tmp_path)).collect()
+    whole = {}
+    for r in sorted(bodies, key=lambda r: (r.request_id, r.segment)):
+        whole[r.request_id] = whole.get(r.request_id, "") + r.text
+    assert set(whole) == asked
+    for name, body in whole.items():
+        held = json.loads(body)["messages"]
+        assert len(held) == 11 and held[-1]["content"] == "text " + name.replace("-", " ")
