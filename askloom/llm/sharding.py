@@ -8,9 +8,9 @@ one by one. A group then gets its shard by its rank among those of its size. The
 the smallest found for which that needs no more than the shards asked for; groups larger than
 an equal share of what is left get a shard of their own first.
 
-A table with more than ``MAX_SIZES`` distinct sizes (at least half the square of it in bytes)
-would make the driver's part long: there, groups of more than ``1 / MAX_ITEMS`` of all bytes are packed one
-by one, and smaller ones bundled by their key's hash into ``MAX_ITEMS`` bundles first.
+There are fewer distinct sizes than the square root of twice the table's bytes, so the driver holds
+a small part of any table: the one method serves tables of every size. Above ``MAX_SIZES`` of them
+the places are joined by a shuffle instead of a broadcast, which changes no row.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from askloom.plans.ordered import number_rows
 from askloom.plans.skew import spread_join
 
 MAX_SIZES = 1 << 16
-MAX_ITEMS = 4096
 SEARCH_STEPS = 14
 
 
@@ -164,7 +163,7 @@ def _ranges(runs: list[Run], placed: list[list[Run]]):
 
 
 def shard_by_bytes(
-    spark: SparkSession, docs: DataFrame, shards: int = 16, max_items: int = MAX_ITEMS, max_sizes: int = MAX_SIZES
+    spark: SparkSession, docs: DataFrame, shards: int = 16, max_sizes: int = MAX_SIZES
 ) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row.
 
@@ -174,8 +173,6 @@ def shard_by_bytes(
     equal share keeps a shard to itself, which then is larger than the others, which share
     the rest equally.
     """
-    if max_items < 64 * shards:
-        raise ValueError(f"{shards} shards need at least {64 * shards} items")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = stored(
         spark,
@@ -190,21 +187,19 @@ def shard_by_bytes(
     )
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.min("at").alias("at"))
     groups = stored(spark, groups, "shard-groups")
-    runs = groups.groupBy("size").agg(F.count("*").alias("n"))
-    if runs.count() > max_sizes:
-        in_shards = _by_bundles(spark, rows, groups, shards, max_items)
-    else:
-        sizes = sorted(((r["size"], r["n"]) for r in runs.collect()), reverse=True)  # at most max_sizes
-        ranges = spark.createDataFrame(
-            list(_ranges(sizes, tightest_runs(sizes, shards))), "size long, first long, last long, shard int"
-        )
-        ranked = number_rows(groups.select("group", "size", "at"), ["size"], "at", F.lit(False))
-        ranges = F.broadcast(ranges.withColumnRenamed("size", "of"))  # at most shards rows a size
-        own = (F.col("size") == F.col("of")) & F.col("row_no").between(F.col("first"), F.col("last"))
-        places = stored(spark, ranked.join(ranges, own).select("group", "shard"), "group-shards")
-        in_shards = spread_join(rows, places, "group").drop("group")
-        in_shards = stored(spark, in_shards, "rows-in-shards")  # numbering reads it twice
-        release(rows, groups, places)
+    runs = groups.groupBy("size").agg(F.count("*").alias("n")).collect()  # a row per distinct size
+    sizes = sorted(((r["size"], r["n"]) for r in runs), reverse=True)
+    ranges = spark.createDataFrame(
+        list(_ranges(sizes, tightest_runs(sizes, shards))), "of long, first long, last long, shard int"
+    )
+    if len(sizes) <= max_sizes:
+        ranges = F.broadcast(ranges)  # at most shards rows a size
+    ranked = number_rows(groups.select("group", "size", "at"), ["size"], "at", F.lit(False))
+    own = (F.col("size") == F.col("of")) & F.col("row_no").between(F.col("first"), F.col("last"))
+    places = stored(spark, ranked.join(ranges, own).select("group", "shard"), "group-shards")
+    in_shards = spread_join(rows, places, "group").drop("group")
+    in_shards = stored(spark, in_shards, "rows-in-shards")  # numbering reads it twice
+    release(rows, groups, places)
     return number_rows(in_shards, ["shard"], "at", F.lit(False)).select(
         "doc_id",
         "size",
@@ -214,23 +209,3 @@ def shard_by_bytes(
         (F.col("row_no") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def _by_bundles(spark: SparkSession, rows: DataFrame, groups: DataFrame, shards: int, max_items: int) -> DataFrame:
-    """``rows`` with their ``shard``, for tables of very many distinct sizes."""
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    large = groups.filter(F.col("size") * max_items > total).collect()  # fewer than max_items
-
-    large_rows = spark.createDataFrame([(r["group"],) for r in large], "group binary")
-    large_rows = large_rows.withColumn("item", F.concat(F.lit("g"), F.hex("group")))
-    hashed = F.concat(F.lit("b"), F.pmod(F.xxhash64("group"), F.lit(max_items)).cast("string"))
-    items = rows.join(F.broadcast(large_rows), "group", "left").withColumn(
-        "item", F.coalesce("item", hashed)
-    )
-    bundles = items.groupBy("item").agg(F.sum("size").alias("size")).collect()  # at most twice max_items
-    bundles.sort(key=lambda r: (-r["size"], r["item"]))
-    placed = tightest([r["size"] for r in bundles], shards)
-    places = spark.createDataFrame(
-        [(r["item"], bin_) for r, bin_ in zip(bundles, placed)], "item string, shard int"
-    )
-    return items.join(F.broadcast(places), "item").drop("item", "group")

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -90,6 +90,17 @@ def test_bytes_are_nearly_equal_beside_a_hot_group(spark):
         assert len(set(slots)) == 3000 and all(max(x for b, x in slots if b == i) + 1 == sum(b == i for b, _ in slots) for i in range(16))
 
 
+def test_number_of_sizes_changes_no_row(spark):
+    """Whether places are broadcast or shuffled, each row gets the same shard and slot."""
+    rng = plain.generator(9)
+    docs = plain.documents(spark, [(i, plain.prose(rng, rng.randint(1, 60))) for i in range(1200)], spread=True)
+    few, many = (sorted(sharding.shard_by_bytes(spark, docs, max_sizes=most).collect()) for most in (1 << 16, 3))
+    load = Counter()
+    for r in many:
+        load[r.shard] += r.size
+    assert few == many and len(few) == 1200 and max(load.values()) <= 1.01 * min(load.values())
+
+
 RULE_TEXTS = [(r.verdict, r.host, r.path) for r in urlfilter.RULES]
 
 
