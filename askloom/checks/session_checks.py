@@ -88,8 +88,9 @@ def stored_memory(spark, log):
 
 
 def open_requests(log):
-    """Every user message asked again, so that most sessions have several requests."""
-    return log.filter("role = 'user'").select(
+    """Every user message asked again, so that most sessions have several requests; one that is
+    logged twice is asked once."""
+    return log.filter("role = 'user'").dropDuplicates(["session_id", "turn", "content"]).select(
         F.concat_ws("-", F.col("session_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
         "session_id",
         F.col("content").alias("question"),

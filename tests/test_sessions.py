@@ -151,3 +151,10 @@ def test_every_question_of_a_session_is_asked_again(spark, tmp_path):
     for name, body in whole.items():
         held = json.loads(body)["messages"]
         assert len(held) == 11 and held[-1]["content"] == "text " + name.replace("-", " ")
+
+
+def test_a_question_logged_twice_is_asked_once(spark, tmp_path):
+    turns = [(1, 0, "user", "first"), (1, 0, "user", "first"), (1, 1, "assistant", "answer"), (1, 2, "user", "last")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    sent = CHECKS["session_requests"].run(spark, str(tmp_path)).filter("part = 2").select("request_id")
+    assert rows(sent) == [("1-0",), ("1-2",)]
