@@ -196,3 +196,17 @@ def test_nearest_leaves_out_malformed_vectors(spark):
     query = F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
     got = [r["id"] for r in search.nearest(points, query).collect()]
     assert got == [1, 6]
+
+
+def test_cells_are_dealt_evenly(spark):
+    """Twice as many cells as tasks: every task gets two, and no query or point is lost."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    points = [(i, search.POINTS, None, None, None, i, [1.0, float(i)]) for i in range(2 * partitions)]
+    asked = [(i, search.QUERIES, f"q{i}", 1, [1.0, float(i)], None, None) for i in range(2 * partitions)]
+    schema = "cell long, kind int, query_id string, limit int, query_vector array<double>, id long, vector array<double>"
+    cells = spark.createDataFrame(points + asked, schema)
+    query_schema = spark.createDataFrame([], QUERIES).schema
+    hits = search.score_cells(cells, query_schema, 2, 0.9)
+    assert rows(hits.select("query_id", "id")) == sorted((f"q{i}", i) for i in range(2 * partitions))
+    held = hits.groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(r["count"] for r in held) == [2] * partitions
