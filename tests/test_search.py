@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -210,3 +211,24 @@ def test_cells_are_dealt_evenly(spark):
     assert rows(hits.select("query_id", "id")) == sorted((f"q{i}", i) for i in range(2 * partitions))
     held = hits.groupBy(F.spark_partition_id()).count().collect()
     assert sorted(r["count"] for r in held) == [2] * partitions
+
+
+def test_tiles_of_scores_stay_small_and_lose_no_hit():
+    rng = np.random.default_rng(7)
+    queries, points = rng.normal(size=(1300, 16)), rng.normal(size=(3000, 16))
+    points[1500:1540] = points[10]  # ties within a tile and across tiles
+    limits = rng.integers(1, 6, len(queries))
+    tracemalloc.start()
+    top = block_scores.TopHits(queries, limits, 0.3)
+    for low in range(0, len(points), 2000):
+        top.add(np.arange(low, min(low + 2000, len(points))), points[low : low + 2000])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 8 << 20  # all scores of a batch are 10 MB
+    scores = np.array([(points * q).sum(axis=1) for q in queries])
+    scores /= np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(points, axis=1)
+    want = set()
+    for q, (row, limit) in enumerate(zip(scores.round(9), limits)):
+        order = np.lexsort((np.arange(len(row)), -row))[:limit]
+        want |= {(q, int(i)) for i in order if row[i] >= 0.3}
+    assert set(zip(top.q.tolist(), top.ids.tolist())) == want
