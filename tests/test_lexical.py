@@ -63,3 +63,17 @@ def test_nothing_to_search(spark, tmp_path):
     assert none.hits.collect() == [] and none.share().first()["scored"] == 0
     empty = lexical.write_index(texts.limit(0), str(tmp_path / "empty"))
     assert lexical.search(texts.withColumnRenamed("id", "query_id"), empty).hits.collect() == []
+
+
+def test_no_row_per_posting_of_a_query_is_written(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(60))
+    texts = spark.createDataFrame([(i, f"{words} own{i % 7} x{i}") for i in range(400)], "id long, text string")
+    index = lexical.write_index(texts, str(tmp_path / "index"))
+    found = lexical.search(texts.filter("id % 4 = 0").withColumnRenamed("id", "query_id"), index)
+    plan = found.hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "explode(entries" not in plan and "MapInArrow" in plan
+    assert index.texts.count() == 400 and index.texts.filter("size(nos) <> size(xs)").count() == 0
+    got = [(q, r, i) for q, r, i, _ in rows(found.hits)]
+    pairs = [(r["id"], r["text"]) for r in texts.collect()]
+    want = plain_search(pairs, [(i, t) for i, t in pairs if i % 4 == 0], 3, 0.3)
+    assert got == sorted((q, r, i) for q, r, i, _ in want)
