@@ -106,3 +106,13 @@ def test_further_columns_stay(spark):
     lines = spark.createDataFrame([("a", 0, "{}", 5)], "response_id string, seq long, line string, at long")
     assert rows(replies.ndjson_tokens(lines).select("at", "token")) == [(5, "")]
     assert rows(replies.sse_tokens(lines).select("at", F.coalesce("token", F.lit("-")))) == [(5, "-")]
+
+
+def test_tokens_of_one_arrival_share_a_state_element(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    n = emitted.PART_TOKENS + 3
+    line = "data: " + json.dumps({"choices": [{"delta": {"content": "t"}}]})
+    feed.add([("a", i, line, 0) for i in range(1, n + 1)] + [("b", i, line, 0) for i in range(5, 9)])
+    held = emitted._state(spark, feed.progress, "parts").groupBy("key.response_id").count()
+    assert rows(held) == [("a", 2), ("b", 1)]
+    assert feed.waiting() == [("a", "t" * n), ("b", "tttt")]
