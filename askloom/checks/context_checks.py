@@ -96,7 +96,7 @@ def collection(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     others = documents.join(vecs, "id", "left_anti").repartition(spark.sparkContext.defaultParallelism)
     lexical = inference.embed_lexical([1.0] * WIDTH, others).select("id", "vector")
-    return vecs.join(documents, "id", "left_semi").unionByName(lexical)
+    return stored(vecs.join(documents, "id", "left_semi").unionByName(lexical), "collection")
 
 
 @check(HITS_SQL + "SELECT query_id, coalesce(context, '') AS context, coalesce(n, 0) AS n_hits FROM joined")

@@ -232,3 +232,11 @@ def test_tiles_of_scores_stay_small_and_lose_no_hit():
         order = np.lexsort((np.arange(len(row)), -row))[:limit]
         want |= {(q, int(i)) for i in order if row[i] >= 0.3}
     assert set(zip(top.q.tolist(), top.ids.tolist())) == want
+
+
+def test_grid_sends_few_rows():
+    # a tall grid, one block of queries for all points, would send every query to each of 48 cells
+    query_blocks, point_blocks = search.grid_shape(102_000, 513_000, 229_000, 48)
+    assert query_blocks * point_blocks >= 48
+    assert 102_000 * point_blocks + 513_000 * query_blocks < 0.65 * (102_000 * 48 + 513_000)
+    assert search.grid_shape(0, 0, 10, 16)[0] == 1 and search.grid_shape(1000, 10, 10, 16)[0] >= 100
