@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from askloom import fixed
-from askloom.plans import scratch
-from askloom.sources.documents import chunk
+from askloom.functions.text import paragraphs
 
 PLACE = ["doc_id", "chunk_index"]
 
@@ -36,16 +35,32 @@ def current_chunks(log: DataFrame) -> DataFrame:
     return last.select(*PLACE, "last.text").filter("text IS NOT NULL")
 
 
+def held_hashes(log: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """``doc_id, held``: the hashes of a document's chunks in the log, by their index."""
+    own = log.select(*PLACE, "hash", "load").join(doc_ids, "doc_id", "left_semi")
+    last = own.groupBy(*PLACE).agg(F.max_by(F.struct("hash"), "load").getField("hash").alias("hash"))
+    places = last.filter("hash IS NOT NULL").groupBy("doc_id")
+    places = places.agg(F.array_sort(F.collect_list(F.struct("chunk_index", "hash"))).alias("places"))
+    most = F.get("places", F.size("places") - 1)["chunk_index"]
+    by_index = F.map_from_entries("places")
+    spread = F.transform(F.sequence(F.lit(0), most), lambda i: F.try_element_at(by_index, i))
+    held = F.when(F.size("places") == most + 1, F.col("places.hash")).otherwise(spread)
+    return places.select("doc_id", held.alias("held"))
+
+
 def chunk_changes(log: DataFrame, documents: DataFrame, *, delimiter: str = fixed.PARAGRAPH_DELIMITER) -> DataFrame:
-    """The rows to log for ``documents``: a stored table with one row per ``doc_id``.
+    """The rows to log for ``documents``, a table with one row per ``doc_id``.
 
-    The log is read without its texts, and only for these documents.
+    The log is read without its texts, and only for these documents. A document meets its
+    hashes as a whole, so that its texts stay where they were gathered by ``doc_id``.
     """
-    fresh = chunk(documents.filter("text IS NOT NULL"), delimiter=delimiter)
-    fresh = fresh.withColumn("hash", F.unhex(F.sha2("text", 256)))
-    own = log.select(*PLACE, "hash", "load").join(documents.select("doc_id"), "doc_id", "left_semi")
-    held = own.groupBy(*PLACE).agg(F.max_by(F.struct("hash"), "load").getField("hash").alias("held"))
-    both = fresh.join(held.filter("held IS NOT NULL"), PLACE, "full")
+    chunks = F.coalesce(paragraphs("text", delimiter), F.array().cast("array<string>"))
+    held = held_hashes(log, documents.select("doc_id"))
+    both = documents.select("doc_id", chunks.alias("chunks")).join(held, "doc_id", "left")
+    old = F.coalesce("held", F.array().cast("array<binary>"))
+    both = both.select("doc_id", F.posexplode(F.arrays_zip(F.col("chunks"), old.alias("held"))).alias("chunk_index", "chunk"))
+    both = both.select(*PLACE, F.col("chunk.chunks").alias("text"), F.col("chunk.held").alias("held"))
+    both = both.withColumn("hash", F.unhex(F.sha2("text", 256)))
     return both.filter(~F.col("hash").eqNullSafe(F.col("held"))).select(*PLACE, "hash", "text")
 
 
@@ -61,8 +76,6 @@ def log_load(
     modified: str | None = None, delimiter: str = fixed.PARAGRAPH_DELIMITER,
 ) -> None:
     """Log what ``documents(doc_id, text)`` change against all loads before ``load``."""
-    own = scratch.new_path(spark, "loaded-documents")
-    last_texts(documents, modified).write.parquet(own)
     before = read_log(spark, path).filter(F.col("load") < load)
-    changed = chunk_changes(before, spark.read.parquet(own), delimiter=delimiter)
+    changed = chunk_changes(before, last_texts(documents, modified), delimiter=delimiter)
     changed.write.mode("overwrite").parquet(f"{path}/load={load}")

@@ -1,5 +1,7 @@
 """Documents that change, and texts that are embedded once."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,17 @@ def test_no_texts(spark, tmp_path, counted):
     remembered.create_store(spark, store)
     none = spark.createDataFrame([], "id long, text string")
     assert remembered.embed_once(none, store, make).collect() == [] and calls() == []
+
+
+def test_texts_meet_the_log_as_documents_and_holes_in_it_are_filled(spark, tmp_path):
+    path = str(tmp_path / "log")
+    changes.create_log(spark, path, "string")
+    log = "doc_id string, chunk_index int, hash binary, text string, load long"
+    sha = lambda t: hashlib.sha256(t.encode()).digest()
+    held = [("a", 0, sha("x"), "x", 0), ("a", 3, sha("w"), "w", 0), ("b", 0, sha("y"), "y", 0), ("b", 0, None, None, 1), ("c", 1, sha("z"), "z", 0)]
+    before = spark.createDataFrame(held, log)
+    docs = spark.createDataFrame([("a", "x\nnew"), ("b", "y"), ("c", None), (None, "n")], "doc_id string, text string")
+    found = changes.chunk_changes(before, changes.last_texts(docs, None), delimiter="\n")
+    got = {(r["doc_id"], r["chunk_index"], r["text"]) for r in found.collect()}
+    assert got == {("a", 1, "new"), ("a", 3, None), ("b", 0, "y"), ("c", 1, None), (None, 0, "n")}
+    assert "FullOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
