@@ -53,6 +53,36 @@ def _points(spark, sf_dir):
     return _as_points(collections.attach_vectors(*_chunks_and_vectors(spark, sf_dir)))
 
 
+FILE_DOCUMENTS = 64  # neighbouring ids that make a part
+FILE_BYTES = 16 << 20  # of neighbouring parts in one file, if all were of one source and of mean length
+
+
+def _new_mark():
+    """What begins a part in a file, as a boundary does in a mail; made anew, so that no text has it."""
+    return f"{uuid.uuid4().hex}:"
+
+
+def _write_parts(documents, path, mark, after):
+    """Write ``documents`` as text files of a span of parts of a source, so that there are files
+    by the size of the table and no folder and file for every few documents.
+
+    A part is its mark and number, ``after``, and its texts by id, each with a line end.
+    """
+    mean = documents.agg(F.avg(F.octet_length("text"))).first()[0] or 1
+    part, span = F.floor(F.col("doc_id") / FILE_DOCUMENTS), max(1, int(FILE_BYTES / (FILE_DOCUMENTS * mean)))
+    texts = documents.select("source", part.alias("part"), F.floor(part / span).alias("span"), "doc_id", "text")
+    texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
+    parts = texts.repartition("source", "span").groupBy("source", "span", "part")
+    parts = parts.agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).getField("text").alias("texts"))
+    number = F.coalesce(F.col("part").cast("string"), F.lit(""))
+    whole = F.concat(F.lit(mark), number, F.lit(after), F.array_join("texts", "\n"))
+    parts.select("source", "span", whole.alias("text")).write.partitionBy("source", "span").text(path)
+
+
+def _part_number(text):
+    return F.nullif(text, F.lit("")).cast("long")
+
+
 def _flat(nested):
     return nested.select(
         "id",
@@ -207,9 +237,6 @@ def large_files(spark, sf_dir):
     )
 
 
-FILE_DOCUMENTS = 64
-
-
 @check(
     f"""
 SELECT source, doc_id // {FILE_DOCUMENTS} AS part, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text
@@ -218,18 +245,16 @@ FROM documents GROUP BY ALL
 )
 def read_files(spark, sf_dir):
     """Documents written as text files of a source's neighbouring ids, with equal file names
-    in many folders, and read back. No file holds more than ``FILE_DOCUMENTS`` of them."""
-    path = scratch.new_path(spark, "files")
-    part = F.floor(F.col("doc_id") / FILE_DOCUMENTS).alias("part")
-    texts = table(spark, sf_dir, "documents").select("source", part, "doc_id", "text")
-    ordered = texts.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id")
-    ordered.select("source", "part", "text").write.partitionBy("source", "part").text(path)
-    read = read_documents(spark, f"{path}/*/*")
-    return read.select(
+    in many folders, read back and cut into parts of ``FILE_DOCUMENTS`` ids at their marks."""
+    path, mark = scratch.new_path(spark, "files"), _new_mark()
+    _write_parts(table(spark, sf_dir, "documents"), path, mark, "\n")
+    parts = F.split("text", mark)
+    read = read_documents(spark, f"{path}/*/*").select(
         F.regexp_extract("doc_id", "/source=([^/]*)/", 1).alias("source"),
-        F.regexp_extract("doc_id", "/part=([^/]*)/", 1).cast("long").alias("part"),
-        "text",
+        F.explode(F.slice(parts, F.lit(2), F.size(parts) - 1)).alias("text"),
     )
+    number = F.substring_index("text", "\n", 1)
+    return read.select("source", _part_number(number).alias("part"), F.substr("text", F.length(number) + 2).alias("text"))
 
 
 @check(
