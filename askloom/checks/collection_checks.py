@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from askloom import fixed
 from askloom.checks.registry import check, table
@@ -221,18 +221,20 @@ FROM kept WHERE text <> ''
     % ("'" + fixed.WHITESPACE.replace("'", "''") + "'")
 )
 def large_files(spark, sf_dir):
-    """Documents written to files of many lines, each line a paragraph, and chunked in splits."""
-    path = scratch.new_path(spark, "large-files")
-    part = F.floor(F.col("doc_id") / 64).alias("part")
-    texts = table(spark, sf_dir, "documents").select("source", part, "doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
-    apart = texts.withColumn("text", F.concat("text", F.lit("\n")))
-    ordered = apart.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id")
-    ordered.select("source", "part", "text").write.partitionBy("source", "part").text(path)
+    """Documents written to files of many lines, each line a paragraph, and chunked in splits.
+
+    A part begins with its mark as a paragraph, so chunks are counted from the mark before them."""
+    path, mark = scratch.new_path(spark, "large-files"), _new_mark()
+    doubled = F.concat(F.regexp_replace("text", "\n", "\n\n"), F.lit("\n"))
+    _write_parts(table(spark, sf_dir, "documents").withColumn("text", doubled), path, mark, "\n\n")
     chunks = large_file_chunks(spark, f"{path}/*/*")
-    return chunks.select(
+    begun = F.when(F.col("text").startswith(mark), F.struct(_part_number(F.substr("text", F.lit(len(mark) + 1))).alias("part"), "chunk_index"))
+    before = Window.partitionBy("doc_id").orderBy("chunk_index")  # a file, of about FILE_BYTES at most
+    placed = chunks.withColumn("begun", F.last(begun, ignorenulls=True).over(before))
+    return placed.filter(~F.col("text").startswith(mark)).select(
         F.regexp_extract("doc_id", "/source=([^/]*)/", 1).alias("source"),
-        F.regexp_extract("doc_id", "/part=([^/]*)/", 1).cast("long").alias("part"),
-        F.col("chunk_index").cast("long").alias("chunk_index"),
+        F.col("begun.part").alias("part"),
+        (F.col("chunk_index") - F.col("begun.chunk_index") - 1).cast("long").alias("chunk_index"),
         "text",
     )
 

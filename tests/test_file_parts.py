@@ -34,6 +34,21 @@ def test_read_files(spark, written):
     assert len(files(path / "scratch" / "files")) <= 8
 
 
+def paragraphs(texts):
+    """Chunks of a part; a text that is missing leaves one line end, which the next paragraph begins with."""
+    whole = "\n".join("" if t is None else t.replace("\r\n", "\n").replace("\n", "\n\n") + "\n" for t in texts) + "\n"
+    return [x.strip() for x in whole.split("\n\n") if x.strip() and not x.startswith("#")]
+
+
+def test_large_files(spark, written):
+    path, parts = written
+    got = CHECKS["large_files"].run(spark, str(path)).collect()
+    want = {(*k, i): x for k, texts in parts.items() for i, x in enumerate(paragraphs(texts))}
+    assert len(got) == len(want)
+    assert {(r.source, r.part, r.chunk_index): r.text for r in got} == want
+    assert len(files(path / "scratch" / "large-files")) <= 8
+
+
 def test_long_documents_have_files_of_few_parts(spark, written, monkeypatch):
     path, parts = written
     monkeypatch.setattr(collection_checks, "FILE_BYTES", 1000)
