@@ -240,3 +240,21 @@ def test_grid_sends_few_rows():
     assert query_blocks * point_blocks >= 48
     assert 102_000 * point_blocks + 513_000 * query_blocks < 0.65 * (102_000 * 48 + 513_000)
     assert search.grid_shape(0, 0, 10, 16)[0] == 1 and search.grid_shape(1000, 10, 10, 16)[0] >= 100
+
+
+def test_many_query_blocks_take_turns(spark, monkeypatch):
+    """Sixteen blocks of queries: no turn sends much more than the points and a block's queries."""
+    rng = np.random.default_rng(7)
+    vecs = rng.normal(size=(320, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    monkeypatch.setattr(sizing, "CELL_BYTES", 20 * (8 * sizing.NUMBER_BYTES + 3 * sizing.HIT_BYTES))
+    sent, old = [], search.score_cells
+    monkeypatch.setattr(search, "score_cells", lambda cells, *a: (sent.append(cells.count()), old(cells, *a))[1])
+    asked = spark.createDataFrame(rows, "query_id long, vector array<double>")
+    points = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = search.top_k(asked, points, width=8, limit=3, min_score=0.2, strategy="grid").orderBy("query_id", "rank").collect()
+    units = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    scores = units @ units.T
+    want = [(q, r + 1, int(i)) for q in range(320) for r, i in enumerate(np.argsort(-scores[q], kind="stable")[:3]) if scores[q, i] >= 0.2]
+    assert [(h.query_id, h.rank, h.id) for h in got] == want
+    assert len(sent) == 16 and max(sent) <= 320 + 60 * spark.sparkContext.defaultParallelism
