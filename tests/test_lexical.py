@@ -3,10 +3,13 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from askloom.operators import lexical
+from askloom.plans import sizing
 
 
 def topics(rng, n):
@@ -77,3 +80,21 @@ def test_no_row_per_posting_of_a_query_is_written(spark, tmp_path):
     pairs = [(r["id"], r["text"]) for r in texts.collect()]
     want = plain_search(pairs, [(i, t) for i, t in pairs if i % 4 == 0], 3, 0.3)
     assert got == sorted((q, r, i) for q, r, i, _ in want)
+
+
+def test_texts_and_queries_in_turns(spark, tmp_path, monkeypatch):
+    """Blocks of queries meet the texts one after the other, and term counts go once the index is written."""
+    monkeypatch.setattr(sizing, "CELL_BYTES", 40 * lexical.DENSE_TERMS * sizing.NUMBER_BYTES)
+    monkeypatch.setattr(lexical, "TURN_ENTRIES", 500)
+    sent, folder = [], Path(spark.conf.get("spark.checkpoint.dir"))
+    texts = list(enumerate(topics(random.Random(6), 300)))
+    before = len(list(folder.glob("term-counts-*")))
+    index = lexical.write_index(spark.createDataFrame(texts, "id long, text string"), str(tmp_path / "index"), 32)
+    assert len(list(folder.glob("term-counts-*"))) == before
+    assert index.texts.count() == len(texts) and index.texts.select("id").distinct().count() == len(texts)
+    cells = lexical._cells
+    monkeypatch.setattr(lexical, "_cells", lambda *a: (sent.append(cells(*a)), sent[-1])[1])
+    found = lexical.search(spark.createDataFrame(texts, "query_id long, text string"), index)
+    assert [(q, r, i) for q, r, i, _ in rows(found.hits)] == sorted((q, r, i) for q, r, i, _ in plain_search(texts, texts, 3, 0.3))
+    turns = sent[1:]
+    assert len(turns) > 4 and all(c.filter(F.col("kind") == lexical.TEXTS).count() == len(texts) for c in turns)
