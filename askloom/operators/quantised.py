@@ -3,7 +3,7 @@
 A unit vector is cut into ``parts`` pieces and each piece replaced by the number of its
 nearest center in that piece's code book, so a point of 384 floats becomes a byte per part. A
 query's scores with all centers are a small table; a point's rough score is the sum of
-the entries its codes name. Codes meet queries in cells cut by hashes, where the codes
+the entries its codes name, taken for the points that a block product finds near enough. Codes meet queries in cells cut by hashes, where the codes
 stream past the tables of a query block. Per query ``shortlist`` times the limit best rough
 scores are joined with the vectors and scored exactly, so only which points are looked at is
 approximate, never a score: a hit is missed if its rough score falls behind the shortlist's.
@@ -11,6 +11,7 @@ approximate, never a score: a hit is missed if its rough score falls behind the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ SAMPLE_ROWS = 1 << 15  # vectors that the books are fitted on, at most
 ROUNDS = 12
 TABLE_BYTES = 64 << 20  # tables of a query block
 CELL_POINTS = 1 << 20  # codes that one cell holds, about
-TILE_SCORES = 1 << 22
+TILE_SCORES = 1 << 18  # scores held at once in a tile, few enough for a core's cache
 BOOKS = "part int, centers array<array<float>>"
 QUERIES, POINTS = 0, 1
 
@@ -98,54 +99,101 @@ def encode(points: DataFrame, books: DataFrame, *, width: int) -> DataFrame:
     return points.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(coded, "id long, codes binary")
 
 
+def _by_score(q: np.ndarray, rough: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order by query, falling score and id; ids are looked at for equal scores only."""
+    bits = (rough + np.float32(0)).view(np.uint32)
+    rising = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
+    key = q.astype(np.uint64) << np.uint64(32) | (~rising).astype(np.uint64)
+    order = np.argsort(key)
+    same = np.diff(key[order]) == 0
+    tied = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+    own = order[tied]
+    order[tied] = own[np.lexsort((ids[own], key[own]))]
+    return order
+
+
 class _Tables:
-    """Scores of a query block with all centers, and the best points of each query so far."""
+    """Scores of a query block with all centers, and the best points of each query so far.
+
+    A product of the queries with the vectors that codes stand for, in tiles that fit a core's
+    cache, only tells which points can still get on a shortlist, with a margin above its
+    rounding; their rough scores are the sums of the tables' entries, which equal codes give alike.
+    """
 
     def __init__(self, names: pa.Array, rows: np.ndarray, held: list[np.ndarray], keep: int):
         piece = rows.shape[1] // len(held)
         self.names, self.keep, self.n = names, keep, len(rows)
+        self.rows, self.held = rows, held
         self.tables = [rows[:, i * piece : (i + 1) * piece] @ c.T for i, c in enumerate(held)]
-        self.ids = np.zeros((self.n, 0), np.int64)
-        self.rough = np.zeros((self.n, 0), np.float32)
+        # a unit vector times the one its code stands for, which is no longer than the longest centers of all parts
+        longest = np.sqrt(sum(float((c.astype(np.float64) ** 2).sum(axis=1).max()) for c in held))
+        self.margin = 2 * (rows.shape[1] + len(held) + 16) * 2.0**-23 * max(1.0, longest) * np.sqrt(rows.shape[1])
+        self.ids = np.full((self.n, keep), np.iinfo(np.int64).max)
+        self.rough = np.full((self.n, keep), -np.inf, np.float32)
 
     def add(self, ids: np.ndarray, codes: np.ndarray) -> None:
-        step = max(1, TILE_SCORES // max(1, self.n))
-        for low in range(0, len(ids), step):
-            own = codes[low : low + step]
-            rough = self.tables[0][:, own[:, 0]]
-            for i in range(1, len(self.tables)):
-                rough += self.tables[i][:, own[:, i]]
-            ids_ = np.broadcast_to(ids[low : low + step], rough.shape)
-            rough, ids_ = np.concatenate((self.rough, rough), axis=1), np.concatenate((self.ids, ids_), axis=1)
-            if rough.shape[1] > self.keep:
-                best = self._best(rough, ids_)
-                rough, ids_ = np.take_along_axis(rough, best, 1), np.take_along_axis(ids_, best, 1)
-            self.rough, self.ids = rough, ids_
-
-    def _best(self, rough: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Places of the ``keep`` best scores of each query, the lower ids of equal ones."""
-        best = np.argpartition(-rough, self.keep - 1, axis=1)[:, : self.keep]
-        chosen = np.take_along_axis(rough, best, 1)
-        last = chosen.min(axis=1, keepdims=True)
-        for q in np.flatnonzero((rough == last).sum(axis=1) > (chosen == last).sum(axis=1)):
-            near = np.flatnonzero(rough[q] >= last[q])
-            best[q] = near[np.lexsort((ids[q, near], -rough[q, near]))[: self.keep]]
-        return best
+        if not len(ids) or not self.n:
+            return
+        points = np.concatenate([c[codes[:, i]] for i, c in enumerate(self.held)], axis=1)
+        step = math.isqrt(TILE_SCORES)
+        for low in range(0, self.n, step):
+            q, p = self._candidates(slice(low, low + step), points, step)
+            if len(q):
+                q += low
+                rough = self.tables[0][q, codes[p, 0]]
+                for i in range(1, len(self.tables)):
+                    rough += self.tables[i][q, codes[p, i]]
+                self._keep(q, ids[p], rough)
+
+    def _candidates(self, tile: slice, points: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Queries of the tile and points that may be among the best of each."""
+        rows, floor, found = self.rows[tile], self.rough[tile, -1] - self.margin, []
+        for low in range(0, len(points), step):
+            near = rows @ points[low : low + step].T
+            asked = np.flatnonzero(near.max(axis=1) >= floor)
+            near = near[asked]
+            mask = near >= floor[asked, None]
+            crowded = np.flatnonzero(mask.sum(axis=1) > 2 * self.keep)
+            if len(crowded):
+                kth = np.partition(near[crowded], -self.keep, axis=1)[:, -self.keep]
+                least = np.maximum(floor[asked[crowded]], kth - 2 * self.margin)
+                mask[crowded] &= near[crowded] >= least[:, None]
+                floor[asked[crowded]] = least
+            q, p = np.nonzero(mask)
+            found.append((asked[q], p + low))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _keep(self, q: np.ndarray, ids: np.ndarray, rough: np.ndarray) -> None:
+        """The ``keep`` best of each query, the lower ids of equal ones."""
+        good = np.flatnonzero(rough >= self.rough[q, -1])
+        q, ids, rough = q[good], ids[good], rough[good]
+        held = np.unique(q)
+        row, place = np.nonzero(self.rough[held] > -np.inf)
+        q = np.concatenate([held[row], q])
+        ids = np.concatenate([self.ids[held[row], place], ids])
+        rough = np.concatenate([self.rough[held[row], place], rough])
+        order = _by_score(q, rough, ids)
+        q, ids, rough = q[order], ids[order], rough[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = rank < self.keep
+        self.ids[q[kept], rank[kept]] = ids[kept]
+        self.rough[q[kept], rank[kept]] = rough[kept]
 
     def hits(self, names: list[str]) -> pa.RecordBatch:
-        q = np.repeat(np.arange(self.n), self.ids.shape[1])
-        columns = [self.names.take(pa.array(q)), pa.array(self.ids.ravel()), pa.array(self.rough.ravel())]
+        q, place = np.nonzero(self.rough > -np.inf)
+        columns = [self.names.take(pa.array(q)), pa.array(self.ids[q, place]), pa.array(self.rough[q, place])]
         return pa.RecordBatch.from_arrays(columns, names)
 
 
 def _shortlists(asked: DataFrame, codes: DataFrame, held: list[np.ndarray], width: int, keep: int) -> DataFrame:
     """``query_id, id, rough``: the best ``keep`` points of every query in every cell."""
     spark, n_parts = asked.sparkSession, len(held)
-    block = max(1, TABLE_BYTES // (4 * sum(map(len, held)) + 12 * keep))
+    block = max(1, TABLE_BYTES // (4 * (sum(map(len, held)) + width) + 12 * keep))
     n, m = asked.count(), codes.count()
     query_blocks, cells = max(1, -(-n // block)), max(1, -(-m // CELL_POINTS))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    point_blocks = max(cells, -(-2 * partitions // query_blocks))
+    # Few blocks of points, as every cell begins with empty shortlists; some cells for every core.
+    point_blocks = max(cells, -(-4 * spark.sparkContext.defaultParallelism // query_blocks))
 
     def part(key: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(blocks))
@@ -162,7 +210,8 @@ def _shortlists(asked: DataFrame, codes: DataFrame, held: list[np.ndarray], widt
         (part("id", point_blocks) * query_blocks + F.col("qb")).alias("cell"), F.lit(POINTS).alias("kind"),
         none.cast(asked.schema["query_id"].dataType).alias("query_id"), none.cast(asked.schema["vector"].dataType).alias("vector"), "id", "codes",
     )
-    routed = query_rows.unionByName(point_rows).repartition(partitions, "cell").sortWithinPartitions("cell", "kind")
+    at = F.pmod(F.col("cell"), F.lit(partitions)).cast("int")  # in turn, as a hash would give some tasks several cells
+    routed = query_rows.unionByName(point_rows).repartitionById(partitions, at).sortWithinPartitions("cell", "kind")
     schema = T.StructType([asked.schema["query_id"], T.StructField("id", T.LongType()), T.StructField("rough", T.FloatType())])
 
     def rough(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
