@@ -248,6 +248,7 @@ def test_many_query_blocks_take_turns(spark, monkeypatch):
     vecs = rng.normal(size=(320, 8))
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
     monkeypatch.setattr(sizing, "CELL_BYTES", 20 * (8 * sizing.NUMBER_BYTES + 3 * sizing.HIT_BYTES))
+    monkeypatch.setattr(search, "ROUND_BYTES", 0)
     sent, old = [], search.score_cells
     monkeypatch.setattr(search, "score_cells", lambda cells, *a: (sent.append(cells.count()), old(cells, *a))[1])
     asked = spark.createDataFrame(rows, "query_id long, vector array<double>")
